@@ -152,7 +152,7 @@ def split_packed(df: DataFrame, key: str, column: str, rounds: int = 2) -> DataF
     fields = unsure.groupBy(key, "pos").agg(F.array_sort(F.collect_list(F.struct("part", "value", "joint"))).alias("rows"))
     spans = cut(fields.select(key, "pos", F.size("rows").alias("n"), F.posexplode(_spans_udf()("rows")).alias("k", "span")).select(key, "pos", "n", "k", "span.*"), "spans")
     seen = cut(sure.join(spans.select("value").distinct(), "value", "left_semi").groupBy("value").agg(F.count(F.lit(1)).cast("double").alias("hits")), "seen")
-    total = F.broadcast(sure.agg(F.count(F.lit(1)).cast("double").alias("total")))
+    total = float(sure.count())
     first = seen
     for _ in range(rounds):
         learnt = _solve(spans, seen, total, key).groupBy("value").agg(F.sum("post").alias("hits"))
@@ -163,9 +163,9 @@ def split_packed(df: DataFrame, key: str, column: str, rounds: int = 2) -> DataF
     return listed.select(key, F.posexplode("all.value").alias("pos", "value"))
 
 
-def _solve(spans: DataFrame, seen: DataFrame, total: DataFrame, key: str) -> DataFrame:
+def _solve(spans: DataFrame, seen: DataFrame, total: float, key: str) -> DataFrame:
     """Posterior of each span and whether the best path takes it. One group is one field."""
-    joined = spans.join(seen, "value", "left").crossJoin(total)  # total is one row
+    joined = spans.join(seen, "value", "left").withColumn("total", F.lit(total))
     packed = joined.groupBy(key, "pos", "n", "total").agg(F.array_sort(F.collect_list(F.struct("k", "first", "after", "value", F.coalesce("hits", F.lit(0.0)).alias("hits")))).alias("s"))
 
     @F.pandas_udf("array<struct<first:int,value:string,post:double,taken:boolean>>")
