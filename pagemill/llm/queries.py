@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.llm.languages import language_units, page_labels
 from pagemill.llm.sentences import sentence_units
 from pagemill.sources.tables import spread, table
 
@@ -21,3 +22,14 @@ def query(f):
 @query
 def p4_found(spark, d):
     return sentence_units(spread(table(spark, d, "sentences", "page_id", "p", "text_nodes")))
+
+
+@query
+def p6_found(spark, d):
+    units = language_units(spread(table(spark, d, "sentences", "page_id", "lang", "p", "descriptions")))
+    return units.where("declared is null or lang != declared").select("page_id", "field", "pos", "lang").distinct()
+
+
+@query
+def p6_labels(spark, d):
+    return page_labels(language_units(spread(table(spark, d, "sentences", "page_id", "lang", "p", "descriptions"))))

@@ -131,7 +131,9 @@ def _left_key(text: str, end: int) -> str:
     word = core.rstrip(STOPS)
     if any(_cjk(c) or _thai(c) for c in word[-3:]):
         return word[-3:] + core[len(word) :][-1:]
-    return re.sub(r"\d", "9", word) + core[len(word) :][-1:] + ("q" if len(core) < len(token) else "")
+    if len(word) == 1 and word.isupper():  # a house's letter or an initial
+        word += _kind((text[max(0, end - 60) : end - len(token)].split() or ["-"])[-1][0])
+    return re.sub(r"\d", "9", word) + core[len(core.rstrip(STOPS)) :][-1:] + ("q" if len(core) < len(token) else "")
 
 
 def _right_key(text: str, start: int) -> str:
@@ -241,7 +243,7 @@ def examples(texts: list[str], seed: int = 11) -> tuple[list[list[str]], list[fl
             add(left(text + ".", len(text) + 1, 1), right(other, 0, 1) if same(text, other) else [], 1.0)
         for end, start in candidates(text):
             c, mark = text[start], text[:end].rstrip(CLOSERS)[-1:]
-            if mark == "." and (c.islower() or (c.isdigit() and len(text[:end].split()[-1]) <= 7)):
+            if c.islower() or (mark == "." and c.isdigit() and len(text[:end].split()[-1]) <= 7):
                 add(left(text, end), right(text, start), 0.0)
             elif mark in "!?" and c.isupper() and text[end - 1] in STOPS:
                 add([], right(text, start), 1.0)
@@ -280,7 +282,7 @@ def split(text: str, model: dict[str, float]) -> list[int]:
         left = left_features(text, end, floor, _STATE[model.get("#L" + _left_key(text, end), 0.0)])
         right = right_features(text, start, _STATE[model.get("#R" + _right_key(text, start), 0.0)])
         sure = any(x[:3] == "Rxe" for x in right)
-        if not sure and (end == start and text[end].isupper() or _thai(text[start]) and text[end - 1].isalnum() and not _thai(text[end - 1]) or text[:end].endswith(("...", "…")) and _kind(text[start]) in ("x", "th")):
+        if not sure and (end == start and text[end].isupper() or _thai(text[start]) and text[end - 1].isalnum() and not _thai(text[end - 1]) or text[:end].endswith(("...", "…", *"\"'”“’»«」』")) and _kind(text[start]) in ("x", "th", "cjk")):
             continue  # only a known opener stands there
         if maxent.score(model, _both(left, right)) > 0:
             out.append(end)
