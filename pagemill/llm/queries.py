@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm.languages import language_units, page_labels
+from pagemill.llm.personal import personal_spans
 from pagemill.llm.sentences import sentence_units
 from pagemill.sources.tables import spread, table
 
@@ -19,6 +20,22 @@ def query(f):
     return f
 
 
+def _names(spark, d):
+    return table(spark, d, "parsed_names", "given_name", "middle_name", "surname")
+
+
+@query
+def p1_found(spark, d):
+    pages = spread(table(spark, d, "sentences", "page_id", "p", "text_nodes"))
+    return personal_spans(pages, _names(spark, d)).drop("end_pos")
+
+
+@query
+def p1_redacted(spark, d):
+    pages = spread(table(spark, d, "sentences", "page_id", "p", "text_nodes"))
+    return personal_spans(pages, _names(spark, d), redacted=True)
+
+
 @query
 def p4_found(spark, d):
     return sentence_units(spread(table(spark, d, "sentences", "page_id", "p", "text_nodes")))
