@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.llm.boilerplate import boilerplate, main_text
 from pagemill.llm.languages import language_units, page_labels
 from pagemill.llm.personal import personal_spans
 from pagemill.llm.sentences import sentence_units
@@ -36,6 +37,17 @@ def p1_redacted(spark, d):
     return personal_spans(pages, _names(spark, d), redacted=True)
 
 
+@query
+def p2_found(spark, d):
+    return boilerplate(spread(table(spark, d, "sentences", "page_id", "host", "h", "p", "text_nodes")))
+
+
+@query
+def p2_main(spark, d):
+    pages = spread(table(spark, d, "sentences", "page_id", "host", "h", "p", "text_nodes"))
+    return main_text(pages, boilerplate(pages))
+
+
 @query
 def p4_found(spark, d):
     return sentence_units(spread(table(spark, d, "sentences", "page_id", "p", "text_nodes")))
