@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm.boilerplate import boilerplate, main_text
 from pagemill.llm.languages import language_units, page_labels
+from pagemill.llm.leaks import leak_report, leaks
 from pagemill.llm.personal import personal_spans
 from pagemill.llm.sentences import sentence_units
 from pagemill.sources.tables import spread, table
@@ -62,3 +63,17 @@ def p6_found(spark, d):
 @query
 def p6_labels(spark, d):
     return page_labels(language_units(spread(table(spark, d, "sentences", "page_id", "lang", "p", "descriptions"))))
+
+
+def _leaks(spark, d):
+    return leaks(spread(table(spark, d, "documents", "doc_id", "text")), table(spark, d, "benchmark"))
+
+
+@query
+def p8_found(spark, d):
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+@query
+def p8_report(spark, d):
+    return leak_report(_leaks(spark, d))
