@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm.boilerplate import boilerplate, main_text
+from pagemill.llm.garbled import garbled
 from pagemill.llm.languages import language_units, page_labels
 from pagemill.llm.leaks import leak_report, leaks
 from pagemill.llm.personal import personal_spans
@@ -77,3 +78,13 @@ def p8_found(spark, d):
 @query
 def p8_report(spark, d):
     return leak_report(_leaks(spark, d))
+
+
+@query
+def p10_found(spark, d):
+    return garbled(spread(table(spark, d, "documents", "doc_id", "text", "lang"))).select("doc_id").distinct()
+
+
+@query
+def p10_restored(spark, d):
+    return garbled(spread(table(spark, d, "documents", "doc_id", "text", "lang")))
