@@ -10,6 +10,7 @@ from pagemill.llm.boilerplate import boilerplate, main_text
 from pagemill.llm.garbled import garbled
 from pagemill.llm.languages import language_units, page_labels
 from pagemill.llm.leaks import leak_report, leaks
+from pagemill.llm.names import entities, pairs
 from pagemill.llm.personal import personal_spans
 from pagemill.llm.sentences import sentence_units
 from pagemill.sources.tables import spread, table
@@ -88,3 +89,18 @@ def p10_found(spark, d):
 @query
 def p10_restored(spark, d):
     return garbled(spread(table(spark, d, "documents", "doc_id", "text", "lang")))
+
+
+def _entities(spark, d):
+    columns = ("name_id", "raw_name", "given_name", "middle_name", "middle_initials", "surname", "generational_suffix", "employer", "town")
+    return entities(spread(table(spark, d, "parsed_names", *columns)))
+
+
+@query
+def p5_found(spark, d):
+    return pairs(_entities(spark, d))
+
+
+@query
+def p5_entities(spark, d):
+    return _entities(spark, d)
