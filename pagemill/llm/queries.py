@@ -10,6 +10,7 @@ from pagemill.llm.boilerplate import boilerplate, main_text
 from pagemill.llm.garbled import garbled
 from pagemill.llm.languages import language_units, page_labels
 from pagemill.llm.leaks import leak_report, leaks
+from pagemill.llm.mixture import mix, shares
 from pagemill.llm.names import entities, pairs
 from pagemill.llm.personal import personal_spans
 from pagemill.llm.sentences import sentence_units
@@ -104,3 +105,17 @@ def p5_found(spark, d):
 @query
 def p5_entities(spark, d):
     return _entities(spark, d)
+
+
+def _mix(spark, d):
+    return mix(spread(table(spark, d, "documents", "doc_id", "text", "source")), table(spark, d, "mix_targets"))
+
+
+@query
+def p9_shares(spark, d):
+    return shares(_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+@query
+def p9_sample(spark, d):
+    return _mix(spark, d)
