@@ -78,14 +78,25 @@ def flight(p: np.ndarray, x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def landing(p: np.ndarray, x: np.ndarray, seed: int) -> np.ndarray:
-    """The last fractional units settled: of all ways to settle them the one that misses the token total least, ties at random."""
+    """The last fractional units settled: of all ways to settle them the one that misses the token total least, ties at random; then one
+    drawn unit is exchanged for one not drawn if that brings the total nearer."""
     p, left = p.copy(), [i for i in range(len(p)) if 0 < p[i] < 1]
     if left:
+        total = float((p * x).sum())
         want = sum(p[i] * x[i] for i in left)
         rng = np.random.default_rng(seed)
         ways = [np.array([(k >> j) & 1 for j in range(len(left))], float) for k in range(1 << len(left))]
         best = min(ways, key=lambda w: (abs(sum(w[j] * x[i] for j, i in enumerate(left)) - want), rng.random()))
         p[left] = best
+        over, yes, no = float((p * x).sum()) - total, np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+        if over and len(yes) and len(no):
+            no = no[np.argsort(x[no], kind="stable")]
+            at = np.clip(np.searchsorted(x[no], x[yes] - over), 0, len(no) - 1)
+            near = np.stack([np.maximum(at - 1, 0), at])
+            miss = np.abs(x[yes] - x[no][near] - over)
+            k, i = np.unravel_index(int(miss.argmin()), miss.shape)
+            if miss[k, i] < abs(over):
+                p[yes[i]], p[no[near[k, i]]] = 0.0, 1.0
     return p
 
 
