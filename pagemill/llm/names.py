@@ -110,10 +110,11 @@ def probe_keys(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def segment_join(strings: DataFrame, block: str, text: str) -> DataFrame:
+def segment_join(strings: DataFrame, block: str, text: str, wanted: str | None = None) -> DataFrame:
     """(block, a, b): different strings of a block that share a segment, each pair once; strings(block, text) are distinct.
 
     Candidates only: every pair within the allowed edits is among them. The keys are hashed and joined by shuffle; no group is collected.
+    wanted: a boolean column; then only pairs of a wanted string a with one that isn't, b.
     """
 
     @F.pandas_udf("array<string>")
@@ -124,10 +125,12 @@ def segment_join(strings: DataFrame, block: str, text: str) -> DataFrame:
     def probe(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [f"{n}.{i}.{s}" for n, i, s in probe_keys(t)])
 
-    rows = strings.select(F.col(block).alias("block"), F.col(text).alias("t"))
-    left = rows.select("block", F.col("t").alias("a"), F.explode(index("t")).alias("k")).select("block", "a", F.xxhash64("block", "k").alias("key"))
-    right = rows.select("block", F.col("t").alias("b"), F.explode(probe("t")).alias("k")).select(F.col("block").alias("block2"), "b", F.xxhash64("block", "k").alias("key"))
-    found = left.join(right, "key").where("a != b and block = block2")
+    rows = strings.select(F.col(block).alias("block"), F.col(text).alias("t"), (F.col(wanted) if wanted else F.lit(False)).alias("w"))
+    left = rows.select("block", "w", F.col("t").alias("a"), F.explode(index("t")).alias("k")).select("block", "w", "a", F.xxhash64("block", "k").alias("key"))
+    right = rows.select("block", "w", F.col("t").alias("b"), F.explode(probe("t")).alias("k")).select(F.col("block").alias("block2"), F.col("w").alias("w2"), "b", F.xxhash64("block", "k").alias("key"))
+    found = left.join(right, "key").where("a != b and block = block2" + (" and w != w2" if wanted else ""))
+    if wanted:
+        return found.select("block", F.when(F.col("w"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("w"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
     return found.select("block", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -197,17 +200,18 @@ def _places(rows: DataFrame) -> DataFrame:
     """rows with place (the town, or that of the employer) and firm (its commonest spelling there)."""
     firms = cut(rows.where("emp != '' and town != ''").groupBy("emp", "town").agg(F.count(F.lit(1)).alias("n")), "firms")
     best = firms.groupBy("emp").agg(F.max_by("town", F.struct("n", "town")).alias("near"))
-    lost = rows.where("town = '' and emp != ''").select("emp").distinct().join(best, "emp", "left_anti")
-    pool = lost.select(F.lit(0).alias("all"), "emp").union(best.select(F.lit(0).alias("all"), "emp")).distinct()
-    pairs = segment_join(pool, "all", "emp")
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    close = both.join(lost.withColumnRenamed("emp", "a"), "a", "left_semi").join(best.select(F.col("emp").alias("b"), "near"), "b").withColumn("d", _distance_udf("a", "b")).where("d <= 2")
+    # employers without a town of their own: the nearest spelling that stands beside the same surname elsewhere
+    lost = rows.where("town = '' and emp != ''").select("s", "emp").distinct().join(best, "emp", "left_anti")
+    beside = rows.where("emp != ''").select("s", "emp").distinct().join(best.select("emp"), "emp", "left_semi").join(lost.select("s").distinct(), "s", "left_semi")
+    pool = lost.select("s", "emp").withColumn("lost", F.lit(True)).unionByName(beside.select("s", "emp").withColumn("lost", F.lit(False)))
+    pairs = segment_join(pool, "s", "emp", "lost")
+    close = pairs.withColumn("d", _distance_udf("a", "b")).where("d <= 2").select("a", "b", "d").distinct().join(best.select(F.col("emp").alias("b"), "near"), "b")
     found = close.groupBy("a").agg(F.min_by("near", F.struct("d", "b")).alias("near")).select(F.col("a").alias("emp"), "near")
     towns = best.unionByName(found)
     placed = rows.join(towns, "emp", "left").withColumn("place", F.when(F.col("town") != "", F.col("town")).otherwise(F.coalesce("near", F.concat(F.lit("@"), F.col("emp"))))).drop("near")
     placed = cut(placed, "placed")
     spelt = cut(placed.where("emp != ''").groupBy("place", "emp").agg(F.count(F.lit(1)).alias("n")), "spelt")
-    close = segment_join(spelt, "place", "emp").withColumn("d", _distance_udf("a", "b")).where("d <= 2")
+    close = cut(segment_join(spelt, "place", "emp").withColumn("d", _distance_udf("a", "b")).where("d <= 2"), "close")
     close = close.select("block", "a", "b").union(close.select("block", F.col("b").alias("a"), F.col("a").alias("b")))
     counted = close.join(spelt.select(F.col("place").alias("block"), F.col("emp").alias("b"), F.col("n").alias("nb")), ["block", "b"])
     counted = counted.join(spelt.select(F.col("place").alias("block"), F.col("emp").alias("a"), F.col("n").alias("na")), ["block", "a"]).where("nb > na or (nb = na and b < a)")
