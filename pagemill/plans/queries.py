@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions import color, names, text
+from pagemill.operators import lz, pages, technology
 from pagemill.operators.packed_values import split_packed
 from pagemill.operators.records import flatten_records
 from pagemill.sources.tables import spread, table
@@ -40,3 +42,262 @@ def p3_tables(spark, d):
 @query()
 def p7_found(spark, d):
     return split_packed(spread(table(spark, d, "sentences", "page_id", "keywords")), "page_id", "keywords").withColumnRenamed("value", "keyword")
+
+
+# --- text -----------------------------------------------------------------------------------------------------------------
+
+WS = r"[\t\n\x0B\x0C\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+TRIM = f"'^{WS}+|{WS}+$'"
+_A = r"[A-Za-z0-9!#$%&''*+\-/=?^_`{|}~\x{80}-\x{10FFFF}]"
+_B = r"[A-Za-z0-9\x{80}-\x{10FFFF}](?:[A-Za-z0-9\x{80}-\x{10FFFF}-]*[A-Za-z0-9\x{80}-\x{10FFFF}])?"
+DOCS = "(SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)"
+
+
+def _documents(spark, d):
+    return spread(table(spark, d, "documents", "doc_id", "text")).where("text is not null").distinct()
+
+
+@query(f"SELECT doc_id, CAST(i AS INT) AS pos, regexp_replace(e[i + 1], '^''+|''+$', '', 'g') AS email FROM (SELECT doc_id, regexp_extract_all(text, '{_A}+(?:\\.{_A}+)*@{_B}(?:\\.{_B})+') AS e FROM {DOCS}), UNNEST(range(len(e))) AS t(i)")
+def emails(spark, d):
+    return _documents(spark, d).select("doc_id", F.posexplode(text.emails(F.col("text"))).alias("pos", "email"))
+
+
+@query(f"SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE 1 + len(regexp_extract_all(text, '[ \\t\\n\\f\\r][!-~]')) END AS INT) AS n_words FROM {DOCS}")
+def word_count(spark, d):
+    return _documents(spark, d).select("doc_id", text.count_words(F.col("text")).alias("n_words"))
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{WS}+', ' ', 'g'), '^ | $', '', 'g'), '[.,]$', '') AS sentence FROM {DOCS}")
+def normalize_sentence(spark, d):
+    return _documents(spark, d).select("doc_id", text.normalize(F.col("text")).alias("sentence"))
+
+
+@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS pos, part FROM (SELECT doc_id, i, regexp_replace(p[i], {TRIM}, '', 'g') AS part FROM (SELECT doc_id, regexp_split_to_array(text, '\\||\\p{{Zs}}-|-\\p{{Zs}}') AS p FROM {DOCS}), UNNEST(range(1, len(p) + 1)) AS t(i)) WHERE part != ''")
+def split_sentence(spark, d):
+    return _documents(spark, d).select("doc_id", F.posexplode(text.split_sentence(F.col("text"))).alias("pos", "part"))
+
+
+@query(f"SELECT doc_id, CAST(i AS INT) AS pos, l[i + 1] AS line FROM (SELECT doc_id, regexp_extract_all(replace(text, chr(13), chr(10)), '\\n|[^\\n]+') AS l FROM {DOCS}), UNNEST(range(len(l))) AS t(i)")
+def separate_lines(spark, d):
+    return _documents(spark, d).select("doc_id", F.posexplode(text.separate_lines(F.array("text"))).alias("pos", "line"))
+
+
+@query()
+def join_sentences(spark, d):
+    codes = text.country_codes(spark)
+    return _documents(spark, d).select("doc_id", text.join_sentences(F.split("text", "\n"), codes).alias("joined"))
+
+
+@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) - 1 AS INT) AS pos, s AS paragraph FROM (SELECT doc_id, i, p[i] AS s, CASE WHEN p[i] = '' THEN 0 ELSE 1 + len(regexp_extract_all(p[i], '[ \\t\\n\\f\\r][!-~]')) END AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM {DOCS}), UNNEST(range(1, len(p) + 1)) AS t(i)) WHERE n > 2")
+def order_paragraphs(spark, d):
+    return _documents(spark, d).select("doc_id", F.posexplode(text.order_paragraphs(F.split("text", "\n"))).alias("pos", "paragraph"))
+
+
+@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS pos, s AS kept FROM (SELECT doc_id, i, regexp_replace(regexp_replace(regexp_replace(p[i], '(?:http|www)', '', 'gi'), '{WS}+', ' ', 'g'), '^ | $', '', 'g') AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM {DOCS}), UNNEST(range(1, len(p) + 1)) AS t(i)) WHERE s != '' AND NOT contains(lower(s), 'cookie') AND NOT contains(s, '©')")
+def stop_words(spark, d):
+    return _documents(spark, d).select("doc_id", F.posexplode(text.without_stops(F.split("text", "\n"), "http|www")).alias("pos", "kept"))
+
+
+@query("SELECT doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents)")
+def lz_roundtrip(spark, d):
+    docs = spread(table(spark, d, "documents", "doc_id", "text")).distinct()
+    return docs.select("doc_id", lz.lz_decompress(lz.lz_compress(F.col("text"))).alias("text"))
+
+
+@query()
+def lz_compressed(spark, d):
+    return _documents(spark, d).select("doc_id", lz.lz_compress(F.col("text")).alias("packed"))
+
+
+# --- pages ----------------------------------------------------------------------------------------------------------------
+
+PAGES = "(SELECT DISTINCT page_id, html FROM pages WHERE html IS NOT NULL)"
+_UNESCAPE = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
+
+
+def _plain(expression: str, trim: bool = False) -> str:
+    """SQL for an expression with its character references resolved."""
+    done = _UNESCAPE.format(expression)
+    return f"regexp_replace({done}, {TRIM}, '', 'g')" if trim else done
+
+
+def _group(of: str, pattern: str) -> str:
+    return f"regexp_extract({of}, '{pattern}', 1)"
+
+
+def _pages(spark, d):
+    return spread(table(spark, d, "pages", "page_id", "html")).where("html is not null").distinct()
+
+
+@query(f"SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM {PAGES}")
+def page_lang(spark, d):
+    return _pages(spark, d).select("page_id", pages.extract(F.col("html"), "lang").alias("lang"))
+
+
+@query(f"SELECT page_id, CAST(i AS INT) AS pos, {_UNESCAPE.format('a[i + 1]')} AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS a FROM {PAGES}), UNNEST(range(len(a))) AS t(i)")
+def hrefs(spark, d):
+    return _pages(spark, d).select("page_id", F.posexplode(pages.extract(F.col("html"), "href_attributes")).alias("pos", "href"))
+
+
+_ANCHORS = f"(SELECT page_id, regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>') AS a FROM {PAGES})"
+
+
+@query(f"SELECT page_id, CAST(i AS INT) AS pos, {_plain(_group('a[i + 1]', '^<a href=\"([^\"]*)\"'))} AS href, {_plain(_group('a[i + 1]', '>([^<]*)</a>$'), True)} AS text FROM {_ANCHORS}, UNNEST(range(len(a))) AS t(i)")
+def links(spark, d):
+    flat = _pages(spark, d).select("page_id", F.posexplode(pages.extract(F.col("html"), "links")).alias("pos", "l"))
+    return flat.select("page_id", "pos", "l.href", "l.text")
+
+
+@query(f"SELECT page_id, 'title' AS name, {_plain(_group('html', '<title>([^<]*)</title>'), True)} AS title FROM {PAGES}")
+def titles(spark, d):
+    return _pages(spark, d).select("page_id", F.explode(pages.extract(F.col("html"), "meta_titles")).alias("name", "title"))
+
+
+@query(f"SELECT DISTINCT page_id, {_UNESCAPE.format('m')} AS description FROM (SELECT page_id, UNNEST(regexp_extract_all(html, '<meta (?:name|property)=\"(?:og:)?description\" content=\"([^\"]+)\"', 1)) AS m FROM {PAGES})")
+def descriptions(spark, d):
+    return _pages(spark, d).select("page_id", F.explode(pages.extract(F.col("html"), "descriptions")).alias("description"))
+
+
+@query(f"SELECT page_id, {_plain(_group('html', '<meta name=\"keywords\" content=\"([^\"]+)\"'))} AS keywords FROM {PAGES}")
+def page_keywords(spark, d):
+    return _pages(spark, d).select("page_id", pages.extract(F.col("html"), "keywords").alias("keywords"))
+
+
+@query()
+def page_json_ld(spark, d):
+    return _pages(spark, d).select("page_id", F.posexplode(pages.extract(F.col("html"), "json_ld")).alias("pos", "block"))
+
+
+@query(f"SELECT page_id, CAST(h AS INT) AS level, CAST(i AS INT) AS pos, regexp_replace(regexp_replace(regexp_replace({_UNESCAPE.format('a[i + 1]')}, '{WS}+', ' ', 'g'), '^ | $', '', 'g'), '[.,]$', '') AS heading FROM (SELECT page_id, h, regexp_extract_all(html, '<h' || h || '>([^<]*)</h' || h || '>', 1) AS a FROM {PAGES}, range(1, 7) AS r(h)), UNNEST(range(len(a))) AS t(i)")
+def headings(spark, d):
+    s = _pages(spark, d).select("page_id", pages.sentences(F.col("html"), text.country_codes(spark), add_text_nodes=False).alias("s"))
+    flat = s.select("page_id", F.explode("s.h").alias("level", "texts")).select("page_id", F.substring("level", 2, 1).cast("int").alias("level"), F.posexplode("texts").alias("pos", "heading"))
+    return flat
+
+
+@query()
+def sentences(spark, d):
+    s = _pages(spark, d).select("page_id", pages.sentences(F.col("html"), text.country_codes(spark)).alias("s"))
+    return s.select("page_id", F.posexplode("s.p").alias("pos", "paragraph"))
+
+
+@query()
+def text_groups(spark, d):
+    s = _pages(spark, d).select("page_id", pages.sentences(F.col("html"), text.country_codes(spark)).alias("s"))
+    return s.select("page_id", F.posexplode("s.text_nodes").alias("grp", "g")).select("page_id", "grp", F.posexplode("g").alias("pos", "text"))
+
+
+@query()
+def other_texts(spark, d):
+    s = _pages(spark, d).select("page_id", pages.sentences(F.col("html"), text.country_codes(spark), remove_header=True, remove_footer=True).alias("s"))
+    return s.select("page_id", F.posexplode("s.other").alias("pos", "text"))
+
+
+@query(f"SELECT page_id, regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1) AS value FROM {PAGES}")
+def tag_attribute(spark, d):
+    return _pages(spark, d).select("page_id", pages.tag_attribute(F.col("html"), "head > meta", "charset").alias("value"))
+
+
+@query(f"SELECT page_id, regexp_extract(html, '<h1>[^<]*</h1>') AS value FROM {PAGES}")
+def tag_html(spark, d):
+    return _pages(spark, d).select("page_id", pages.tag_html(F.col("html"), "body h1").alias("value"))
+
+
+@query()
+def html_contents(spark, d):
+    return _pages(spark, d).select("page_id", pages.extract(F.col("html"), "html_contents").alias("html"))
+
+
+@query()
+def alternates(spark, d):
+    """The pages' own alternates, none in plain data, and those of one given page."""
+    own = "<link rel=alternate hreflang=da href=/da><link rel=alternate hreflang=en href=/en><link rel=alternate hreflang=da href=/d2>"
+    both = _pages(spark, d).union(spark.createDataFrame([(-1, own)], "page_id bigint, html string"))
+    return both.select("page_id", F.explode(pages.extract(F.col("html"), "alternate_links")).alias("hreflang", "hrefs")).select("page_id", "hreflang", F.posexplode("hrefs").alias("pos", "href"))
+
+
+# --- technology -----------------------------------------------------------------------------------------------------------
+
+#: Rules that hit the data: (technology, key, pattern).
+_TEXT_RULES = [("Listed", "html", "<ul>"), ("Divided", "html", "class=\"b3\""), ("Rights", "html", "&amp; co\\."), ("Offers", "html", "href=\"/[a-m][a-z]*\""), ("Never", "html", "never-there")]
+_IMPLIES = [("Listed", "Markup"), ("Markup", "Web"), ("Web", "Markup"), ("Rights", "Legal")]
+RULES = {"apps": {t: {"html": p} | ({"implies": [b for a, b in _IMPLIES if a == t]} if any(a == t for a, _ in _IMPLIES) else {}) for t, _, p in _TEXT_RULES} | {a: {"implies": b} for a, b in _IMPLIES if a in ("Markup", "Web")}}
+_RULES_SQL = "(VALUES " + ", ".join("('{}', '{}')".format(t, p.replace("'", "''")) for t, _, p in _TEXT_RULES) + ") AS r(tech, pat)"
+_EDGES_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _IMPLIES) + ") AS e(a, b)"
+_HITS_SQL = f"SELECT DISTINCT page_id, tech FROM {PAGES}, {_RULES_SQL} WHERE regexp_matches(html, pat, 'i')"
+
+
+def _rules():
+    import json
+
+    return technology.Rules(json.dumps(RULES))
+
+
+@query(_HITS_SQL)
+def tech_text(spark, d):
+    return _pages(spark, d).select("page_id", F.explode(technology.detect_text(spark, _rules(), "html", technology.html_parts(F.col("html")))).alias("tech"))
+
+
+@query(f"WITH RECURSIVE hit AS ({_HITS_SQL}), c(page_id, tech) AS (SELECT page_id, tech FROM hit UNION SELECT page_id, b FROM c JOIN {_EDGES_SQL} ON tech = a) SELECT page_id, tech FROM c")
+def tech_full(spark, d):
+    none, maps = F.array().cast("array<string>"), F.array().cast("array<map<string,string>>")
+    found = technology.detect(spark, _rules(), technology.html_parts(F.col("html")), none, maps, maps, maps)
+    return _pages(spark, d).select("page_id", F.explode(found).alias("tech"))
+
+
+@query(f"WITH RECURSIVE c(name, tech) AS (SELECT DISTINCT r_name, r_name FROM (SELECT 'Listed' AS r_name UNION ALL SELECT 'Rights' UNION ALL SELECT 'Other') UNION SELECT name, b FROM c JOIN {_EDGES_SQL} ON tech = a) SELECT name, tech FROM c")
+def implies_closure(spark, d):
+    names_ = spark.createDataFrame([("Listed",), ("Rights",), ("Other",)], "name string")
+    return names_.select("name", F.explode(technology.resolve(_rules(), F.array("name"))).alias("tech"))
+
+
+@query("SELECT DISTINCT event_id, 'Clicks' AS tech FROM events WHERE event_type ILIKE '%c%' UNION SELECT event_id, 'Any' FROM events WHERE event_type IS NOT NULL")
+def tech_dict(spark, d):
+    rules = technology.Rules('{"Clicks": {"headers": {"Type": "c"}}, "Any": {"headers": {"TYPE": ".*"}}, "No": {"headers": {"other": ""}}}')
+    rows = spread(table(spark, d, "events", "event_id", "event_type"))
+    return rows.select("event_id", F.explode(F.array_distinct(technology.detect_dict(spark, rules, "headers", F.create_map(F.lit("type"), "event_type")))).alias("tech")).distinct()
+
+
+@query()
+def tech_counts(spark, d):
+    return spark.createDataFrame(sorted(_rules().counts().items()), "kind string, patterns int")
+
+
+# --- colours and names ------------------------------------------------------------------------------------------------------
+
+_RGB = "p_partkey % 256 AS r, p_partkey // 7 % 256 AS g, p_partkey // 3 % 256 AS b"
+
+
+def _parts(spark, d):
+    k = F.col("p_partkey")
+    return table(spark, d, "part", "p_partkey").select("p_partkey", (k % 256).alias("r"), (F.floor(k / 7) % 256).alias("g"), (F.floor(k / 3) % 256).alias("b"))
+
+
+@query(f"SELECT p_partkey, printf('#%02x%02x%02x', r, g, b) AS hex FROM (SELECT p_partkey, {_RGB} FROM part)")
+def rgb_hex(spark, d):
+    return _parts(spark, d).select("p_partkey", color.rgb_hex(F.col("r"), F.col("g"), F.col("b")).alias("hex"))
+
+
+@query(f"""SELECT p_partkey, floor(100 * (CASE WHEN hi = lo THEN 0 WHEN hi = r THEN ((g - b) / (hi - lo) + CASE WHEN g < b THEN 6 ELSE 0 END) * 60 WHEN hi = g THEN ((b - r) / (hi - lo) + 2) * 60 ELSE ((r - g) / (hi - lo) + 4) * 60 END) + 0.501) / 100 AS hue,
+ floor(100 * (CASE WHEN hi = lo THEN 0 ELSE (hi - lo) / (1 - abs(hi + lo - 1)) * 100 END) + 0.501) / 100 AS saturation, floor((hi + lo) / 2 * 10000 + 0.501) / 100 AS lightness
+ FROM (SELECT p_partkey, r, g, b, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM (SELECT p_partkey, r / 255.0 AS r, g / 255.0 AS g, b / 255.0 AS b FROM (SELECT p_partkey, (p_partkey % 256)::DOUBLE AS r, (p_partkey // 7 % 256)::DOUBLE AS g, (p_partkey // 3 % 256)::DOUBLE AS b FROM part)))""")
+def rgb_hsl(spark, d):
+    h = _parts(spark, d).select("p_partkey", color.rgb_hsl(F.col("r"), F.col("g"), F.col("b")).alias("h"))
+    at = lambda i: F.floor(F.get("h", F.lit(i)).cast("double") * 100 + 0.501) / 100
+    return h.select("p_partkey", at(0).alias("hue"), at(1).alias("saturation"), at(2).alias("lightness"))
+
+
+@query()
+def palettes(spark, d):
+    """Palettes of small images made of a part's colours: half one colour, half its complement."""
+    k = _parts(spark, d)
+    one = lambda c: F.unhex(F.lpad(F.hex(F.col(c)), 2, "0"))
+    other = lambda c: F.unhex(F.lpad(F.hex(255 - F.col(c)), 2, "0"))
+    image = F.concat(F.lit("P6 2 1 255\n").cast("binary"), one("r"), one("g"), one("b"), other("r"), other("g"), other("b"))
+    return k.select("p_partkey", F.posexplode(color.palette(image)).alias("rank", "c")).select("p_partkey", "rank", *[F.get("c", F.lit(i)).cast("int").alias(x) for i, x in enumerate("rgb")])
+
+
+@query()
+def human_name(spark, d):
+    rows = spread(table(spark, d, "parsed_names", "name_id", "raw_name")).distinct()
+    return rows.select("name_id", names.parse_name(F.col("raw_name")).alias("n")).select("name_id", "n.*")
