@@ -200,15 +200,16 @@ def _places(rows: DataFrame) -> DataFrame:
     """rows with place (the town, or that of the employer) and firm (its commonest spelling there)."""
     firms = cut(rows.where("emp != '' and town != ''").groupBy("emp", "town").agg(F.count(F.lit(1)).alias("n")), "firms")
     best = firms.groupBy("emp").agg(F.max_by("town", F.struct("n", "town")).alias("near"))
-    # employers without a town of their own: the nearest spelling that stands beside the same surname elsewhere
-    lost = rows.where("town = '' and emp != ''").select("s", "emp").distinct().join(best, "emp", "left_anti")
-    beside = rows.where("emp != ''").select("s", "emp").distinct().join(best.select("emp"), "emp", "left_semi").join(lost.select("s").distinct(), "s", "left_semi")
-    pool = lost.select("s", "emp").withColumn("lost", F.lit(True)).unionByName(beside.select("s", "emp").withColumn("lost", F.lit(False)))
-    pairs = segment_join(pool, "s", "emp", "lost")
+    # employers without a town of their own: the nearest spelling that stands beside a like name elsewhere
+    rows = rows.withColumn("like", F.concat(F.substring("s", 1, 3), F.coalesce("i", F.lit(""))))
+    lost = rows.where("town = '' and emp != ''").select("like", "emp").distinct().join(best, "emp", "left_anti")
+    beside = rows.where("emp != ''").select("like", "emp").distinct().join(best.select("emp"), "emp", "left_semi").join(lost.select("like").distinct(), "like", "left_semi")
+    pool = lost.select("like", "emp").withColumn("lost", F.lit(True)).unionByName(beside.select("like", "emp").withColumn("lost", F.lit(False)))
+    pairs = segment_join(pool, "like", "emp", "lost")
     close = pairs.withColumn("d", _distance_udf("a", "b")).where("d <= 2").select("a", "b", "d").distinct().join(best.select(F.col("emp").alias("b"), "near"), "b")
     found = close.groupBy("a").agg(F.min_by("near", F.struct("d", "b")).alias("near")).select(F.col("a").alias("emp"), "near")
     towns = best.unionByName(found)
-    placed = rows.join(towns, "emp", "left").withColumn("place", F.when(F.col("town") != "", F.col("town")).otherwise(F.coalesce("near", F.concat(F.lit("@"), F.col("emp"))))).drop("near")
+    placed = rows.join(towns, "emp", "left").withColumn("place", F.when(F.col("town") != "", F.col("town")).otherwise(F.coalesce("near", F.concat(F.lit("@"), F.col("emp"))))).drop("near", "like")
     placed = cut(placed, "placed")
     spelt = cut(placed.where("emp != ''").groupBy("place", "emp").agg(F.count(F.lit(1)).alias("n")), "spelt")
     close = cut(segment_join(spelt, "place", "emp").withColumn("d", _distance_udf("a", "b")).where("d <= 2"), "close")
