@@ -112,9 +112,12 @@ def looks_like_markup(s: str) -> bool:
     return "<" in s and ">" in s and ("</" in s or "/>" in s)
 
 
+_SPLIT = regex.compile(SPLIT)
+
+
 def split_py(s: str, stop_words: set[str] | None = None) -> list[str]:
     """As split_sentence; with stop words also cut at these (case ignored), which go."""
-    parts = [strip(x) for x in regex.split(SPLIT, s)]
+    parts = [strip(x) for x in _SPLIT.split(s)]
     if stop_words:
         cut: list[str] = []
         for part in parts:

@@ -662,9 +662,13 @@ def _matches(node: Node, chain: list, k: int) -> bool:
     return any(_matches(c, chain, k - 1) for c in (before[at - 1 : at] if joint == "+" else before[:at]))
 
 
+def matches(node: Node, selector: list) -> bool:
+    return any(_matches(node, chain, len(chain) - 1) for chain in selector)
+
+
 def select(nodes: list[Node], selector: list) -> list[Node]:
     """The elements that a compiled selector matches, in document order."""
-    return [n for n in nodes if n.kind == "el" and any(_matches(n, chain, len(chain) - 1) for chain in selector)]
+    return [n for n in nodes if n.kind == "el" and matches(n, selector)]
 
 
 # --- serialising ---------------------------------------------------------------------------------------------------------

@@ -27,12 +27,10 @@ def _units(text: str) -> list[int]:
 
 def compress(text: str) -> str:
     bits: list[str] = []
-    table: dict[tuple, int] = {}
-    new: set[int] = set()
-    width, room = 2, 2
-
-    def write(value: int, n: int) -> None:
-        bits.append(format(value, f"0{n}b")[::-1])
+    single: dict[int, int] = {}  # code of a unit
+    longer: dict[int, int] = {}  # code of a phrase, by code of its beginning and last unit
+    new: dict[int, int] = {}  # units met but not yet written, by code
+    width, room, size, phrase = 2, 2, 3, -1
 
     def used() -> None:
         nonlocal width, room
@@ -40,32 +38,35 @@ def compress(text: str) -> str:
         if not room:
             room, width = 1 << width, width + 1
 
-    def send(phrase: tuple) -> None:
-        if len(phrase) == 1 and phrase[0] in new:
-            unit = phrase[0]
-            new.discard(unit)
-            write(BYTE if unit < 256 else WIDE, width)
-            write(unit, 8 if unit < 256 else 16)
-            used()
+    def send(code: int) -> None:
+        unit = new.pop(code, -1)
+        if unit < 0:
+            bits.append(f"{code:0{width}b}"[::-1])
         else:
-            write(table[phrase], width)
+            bits.append(f"{BYTE if unit < 256 else WIDE:0{width}b}"[::-1])
+            bits.append(f"{unit:08b}"[::-1] if unit < 256 else f"{unit:016b}"[::-1])
+            used()
         used()
 
-    phrase: tuple = ()
     for unit in _units(text):
-        if (unit,) not in table:
-            table[(unit,)] = len(table) + 3
-            new.add(unit)
-        longer = (*phrase, unit)
-        if longer in table:
-            phrase = longer
+        if unit not in single:
+            single[unit] = size
+            new[size] = unit
+            size += 1
+        if phrase < 0:
+            phrase = single[unit]
+            continue
+        known = longer.get(phrase << 16 | unit)
+        if known is not None:
+            phrase = known
         else:
             send(phrase)
-            table[longer] = len(table) + 3
-            phrase = (unit,)
-    if phrase:
+            longer[phrase << 16 | unit] = size
+            size += 1
+            phrase = single[unit]
+    if phrase >= 0:
         send(phrase)
-    write(END, width)
+    bits.append(f"{END:0{width}b}"[::-1])
     flow = "".join(bits) + "0"
     flow += "0" * (-len(flow) % 6)
     return "".join(ALPHABET[int(flow[i : i + 6], 2)] for i in range(0, len(flow), 6))
@@ -86,9 +87,9 @@ def decompress(text: str) -> str:
         at += n
         return int(flow[at - n : at][::-1], 2)
 
-    phrases: list[tuple] = [(), (), ()]
-    out: list[int] = []
-    last: tuple = ()
+    phrases: list[str] = ["", "", ""]  # of units, one character each
+    out: list[str] = []
+    last = ""
     width, room = 2, 2
     first = True
     while True:
@@ -96,7 +97,7 @@ def decompress(text: str) -> str:
         if code == END:
             break
         if code in (BYTE, WIDE):
-            phrases.append((read(8 if code == BYTE else 16),))
+            phrases.append(chr(read(8 if code == BYTE else 16)))
             code = len(phrases) - 1
             if not first:
                 room -= 1
@@ -106,22 +107,22 @@ def decompress(text: str) -> str:
             if code < 3:
                 raise CodecError("an unknown code")
             last, first, width, room = phrases[code], False, 3, 4
-            out.extend(last)
+            out.append(last)
             continue
         if code < len(phrases):
             entry = phrases[code]
         elif code == len(phrases):
-            entry = (*last, last[0])
+            entry = last + last[0]
         else:
             raise CodecError("an unknown code")
-        out.extend(entry)
-        phrases.append((*last, entry[0]))
+        out.append(entry)
+        phrases.append(last + entry[0])
         last = entry
         room -= 1
         if not room:
             room, width = 1 << width, width + 1
     try:
-        return b"".join(u.to_bytes(2, "little") for u in out).decode("utf-16-le")
+        return "".join(out).encode("utf-16-le", "surrogatepass").decode("utf-16-le")
     except UnicodeDecodeError as e:
         raise CodecError(str(e)) from None
 

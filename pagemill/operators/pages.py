@@ -23,7 +23,18 @@ REMOVED = (
 )
 HEADER = ("header", "nav", ".header", ".header-hero")
 FOOTER = ("footer", ".footer", ".footer-hero")
-_COMPILED = {s: H.compile_selector(s) for s in (*REMOVED, *HEADER, *FOOTER)}
+
+
+def _by_key(selectors: tuple[str, ...]) -> dict[tuple[str, str], list]:
+    """Selectors by what their last part asks for first, a class, an id or a tag."""
+    out: dict[tuple[str, str], list] = {}
+    for s in selectors:
+        chain = H.compile_selector(s)
+        out.setdefault(tuple(chain[0][-1][1][0]), []).append(chain)
+    return out
+
+
+_REMOVED, _HEADER, _FOOTER = _by_key(REMOVED), _by_key(HEADER), _by_key(FOOTER)
 
 SENTENCES = "struct<descriptions:array<string>,h:map<string,array<string>>,json_ld:array<string>,keywords:string,other:array<string>,p:array<string>,text_nodes:array<array<string>>>"
 
@@ -45,6 +56,18 @@ class Page:
         for i in range(node.index, node.end + 1):
             self.gone[i] = 1
 
+    def remove_all(self, selectors: dict[tuple[str, str], list]) -> None:
+        """Remove whatever one of the selectors matches; each element is tried only on those its tag, id and classes may fit."""
+        for node in self.nodes:
+            if node.kind != "el" or self.gone[node.index]:
+                continue
+            keys = [("tag", node.tag)]
+            if node.attrs:
+                keys += [("id", node.attrs["id"])] if "id" in node.attrs else []
+                keys += [("cls", c) for c in node.attrs.get("class", "").split()]
+            if any(H.matches(node, chain) for k in keys for chain in selectors.get(k, ())):
+                self.remove(node)
+
     def raw(self, node: H.Node, gone: bytearray | None = None) -> list[str]:
         gone = self.gone if gone is None else gone
         return [n.text for n in self.nodes[node.index : node.end + 1] if n.kind == "text" and not gone[n.index]]
@@ -65,9 +88,9 @@ class Page:
 def sentences_of(html: str, grouper: T.Grouper, stop: re.Pattern | None, remove_header: bool, remove_footer: bool, add_text_nodes: bool, min_split: int | None) -> dict:
     page = Page(html)
     json_ld = json_ld_of(page)
-    for s in (*REMOVED, *(HEADER if remove_header else ()), *(FOOTER if remove_footer else ())):
-        for node in page.select(_COMPILED[s]):
-            page.remove(node)
+    for wanted, selectors in ((True, _REMOVED), (remove_header, _HEADER), (remove_footer, _FOOTER)):
+        if wanted:
+            page.remove_all(selectors)
     groups = grouper.group(page.raw(page.nodes[0]), min_split) if add_text_nodes else None
 
     def kept(texts: list[str]) -> list[str]:

@@ -30,7 +30,7 @@ _NAMED = re.compile(rf"({'|'.join(TAGS)})\[([a-zA-Z-]+)\]")
 
 def without_version(pattern: str) -> str | None:
     """The pattern without its version or confidence suffix; None if it says nothing."""
-    main, cut, suffix = pattern.partition("\;")
+    main, cut, suffix = pattern.partition("\\;")
     if cut and ("confidence:0" in suffix or main in ANYTHING and "version:" in suffix):
         return None
     return main
@@ -200,7 +200,7 @@ class Rules:
                 pattern = value_pattern(next(iter(_strings(value)), ""))
                 if pattern is None or self._compiles(name, pattern, True):
                     self.dicts[key][field.lower()].append((name, pattern))
-        implied = [x.partition("\;")[0] for x in _strings(app.get("implies"))]
+        implied = [x.partition("\\;")[0] for x in _strings(app.get("implies"))]
         if any(implied):
             self.implies[name] = [x for x in implied if x]
 
