@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagemill.packing import once
+
 
 class ImageLoadError(Exception):
     """An image that can't be read."""
@@ -130,4 +132,4 @@ def palette(data: Column, has_alpha: bool = False, down_size_to: float = 10_000.
         return pa.array(out, pa.list_(pa.list_(pa.float32())))
 
     run.__annotations__ = {"images": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<array<float>>")(data)
+    return once(run, "array<array<float>>")(data)

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagemill.packing import once
+
 PARTS = ("given_name", "generational_suffix", "honorific_prefix", "honorific_suffix", "middle_initials", "middle_name", "surname")
 SCHEMA = "struct<" + ",".join(f"{p}:string" for p in PARTS) + ">"
 # Words beside names.
@@ -88,4 +90,4 @@ def parse_name(c: Column) -> Column:
         return pa.array([None if x is None else parse(x) for x in names.to_pylist()], pa.struct([(p, pa.string()) for p in PARTS]))
 
     run.__annotations__ = {"names": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, SCHEMA)(c)
+    return once(run, SCHEMA)(c)

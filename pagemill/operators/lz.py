@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagemill.packing import once
+
 #: Fixed value: the 65 characters in order.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+-$"
 _VALUE = {c: i for i, c in enumerate(ALPHABET)}
@@ -140,7 +142,7 @@ def _text_function(f, lenient: bool):
         return pa.array(out, pa.string())
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "string")
+    return once(run, "string")
 
 
 def lz_compress(c: Column) -> Column:

@@ -150,7 +150,7 @@ def split_packed(df: DataFrame, key: str, column: str, rounds: int = 2) -> DataF
     sure = units.where(F.col("joint").isNull() & (F.col("part") == 0))
     unsure = units.where(F.col("joint").isNotNull() | (F.col("part") > 0))
     fields = unsure.groupBy(key, "pos").agg(F.array_sort(F.collect_list(F.struct("part", "value", "joint"))).alias("rows"))
-    spans = cut(fields.select(key, "pos", F.size("rows").alias("n"), F.posexplode(_spans_udf()("rows")).alias("k", "span")).select(key, "pos", "n", "k", "span.*"), "spans")
+    spans = cut(fields.select(key, "pos", F.size("rows").alias("n"), _spans_udf()("rows").alias("spans")).select(key, "pos", "n", F.posexplode("spans").alias("k", "span")).select(key, "pos", "n", "k", "span.*"), "spans")
     seen = cut(sure.join(spans.select("value").distinct(), "value", "left_semi").groupBy("value").agg(F.count(F.lit(1)).cast("double").alias("hits")), "seen")
     total = float(sure.count())
     first = seen
@@ -177,7 +177,7 @@ def _solve(spans: DataFrame, seen: DataFrame, total: float, key: str) -> DataFra
             out.append([{"first": a, "value": v, "post": p, "taken": k in path} for k, ((a, _, v), p) in enumerate(zip(own, post))])
         return pd.Series(out)
 
-    return packed.select(key, "pos", F.inline(solve("n", "total", "s")))
+    return packed.select(key, "pos", solve.asNondeterministic()("n", "total", "s").alias("solved")).select(key, "pos", F.inline("solved"))
 
 
 def _spans_udf():
@@ -185,7 +185,7 @@ def _spans_udf():
     def spans(rows: pd.Series) -> pd.Series:
         return pd.Series([[{"first": a, "after": b, "value": t} for a, b, t in _spans(r)] for r in rows])
 
-    return spans
+    return spans.asNondeterministic()  # else the optimiser runs it once more in an inferred filter
 
 
 def _unquote_udf():

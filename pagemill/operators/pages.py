@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators import htmltree as H
+from pagemill.packing import once
 
 #: What is removed before text is taken.
 REMOVED = (
@@ -180,7 +181,7 @@ def _column(batch_type: str, f):
         return pa.array([None if x is None else f(x) for x in html.to_pylist()], kind)
 
     run.__annotations__ = {"html": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, batch_type)
+    return once(run, batch_type)
 
 
 def extract_struct(html: Column, *names: str) -> Column:

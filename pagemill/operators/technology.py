@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.packing import once
+
 TEXT_KEYS, DICT_KEYS = ("html", "script", "dom", "js"), ("headers", "cookies", "meta")
 
 # Expressions that match anything, the least length of a script rule and a name that is none, tags and attributes of
@@ -292,7 +294,7 @@ def _names(f, *types):
             return pa.array([f(*x) for x in zip(*(y.to_pylist() for y in (a, b, c, d, e)))], kind)
 
     run.__annotations__ = {k: pa.Array for k in run.__annotations__}
-    return F.arrow_udf(run, "array<string>")
+    return once(run, "array<string>")
 
 
 def detect_text(spark: SparkSession, rules: Rules, key: str, parts: Column) -> Column:

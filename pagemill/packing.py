@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "smallint": pa.int16()}
 
 
+def once(f, kind: str):
+    """An Arrow function that the optimiser neither repeats in inferred filters nor pushes below a shuffle: it is declared
+    nondeterministic, though it isn't."""
+    return F.arrow_udf(f, kind).asNondeterministic()
+
+
 def packed(ids: list, rows: list[list[tuple]], fields: dict[str, str], key: str) -> pa.RecordBatch:
     """ids and their tuples as a batch of key and units array<struct<fields>>."""
     offsets, n = [0], 0

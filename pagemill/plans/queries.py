@@ -11,7 +11,7 @@ from pagemill.functions import color, names, text
 from pagemill.operators import lz, pages, technology
 from pagemill.operators.packed_values import split_packed
 from pagemill.operators.records import flatten_records
-from pagemill.sources.tables import spread, table
+from pagemill.sources.tables import distinct_rows, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,7 +54,7 @@ DOCS = "(SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)"
 
 
 def _documents(spark, d):
-    return spread(table(spark, d, "documents", "doc_id", "text")).where("text is not null").distinct()
+    return distinct_rows(table(spark, d, "documents", "doc_id", "text").where("text is not null"))
 
 
 @query(f"SELECT doc_id, CAST(i AS INT) AS pos, regexp_replace(e[i + 1], '^''+|''+$', '', 'g') AS email FROM (SELECT doc_id, regexp_extract_all(text, '{_A}+(?:\\.{_A}+)*@{_B}(?:\\.{_B})+') AS e FROM {DOCS}), UNNEST(range(len(e))) AS t(i)")
@@ -100,7 +100,7 @@ def stop_words(spark, d):
 
 @query("SELECT doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents)")
 def lz_roundtrip(spark, d):
-    docs = spread(table(spark, d, "documents", "doc_id", "text")).distinct()
+    docs = distinct_rows(table(spark, d, "documents", "doc_id", "text"))
     return docs.select("doc_id", lz.lz_decompress(lz.lz_compress(F.col("text"))).alias("text"))
 
 
@@ -126,7 +126,7 @@ def _group(of: str, pattern: str) -> str:
 
 
 def _pages(spark, d):
-    return spread(table(spark, d, "pages", "page_id", "html")).where("html is not null").distinct()
+    return distinct_rows(table(spark, d, "pages", "page_id", "html").where("html is not null"))
 
 
 @query(f"SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM {PAGES}")
@@ -299,5 +299,5 @@ def palettes(spark, d):
 
 @query()
 def human_name(spark, d):
-    rows = spread(table(spark, d, "parsed_names", "name_id", "raw_name")).distinct()
+    rows = distinct_rows(table(spark, d, "parsed_names", "name_id", "raw_name"))
     return rows.select("name_id", names.parse_name(F.col("raw_name")).alias("n")).select("name_id", "n.*")

@@ -25,6 +25,13 @@ def spread(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Distinct rows by one shuffle. Copies collapse before they move; only an input of fewer partitions than cores is first spread by all
+    columns, so that Python work that follows isn't drawn into few tasks."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.distinct() if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *df.columns).distinct()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
     sc = spark.sparkContext
