@@ -126,8 +126,9 @@ def segment_join(strings: DataFrame, block: str, text: str, wanted: str | None =
         return texts.map(lambda t: [f"{n}.{i}.{s}" for n, i, s in probe_keys(t)])
 
     rows = strings.select(F.col(block).alias("block"), F.col(text).alias("t"), (F.col(wanted) if wanted else F.lit(False)).alias("w"))
-    left = rows.select("block", "w", F.col("t").alias("a"), F.explode(index("t")).alias("k")).select("block", "w", "a", F.xxhash64("block", "k").alias("key"))
-    right = rows.select("block", "w", F.col("t").alias("b"), F.explode(probe("t")).alias("k")).select(F.col("block").alias("block2"), F.col("w").alias("w2"), "b", F.xxhash64("block", "k").alias("key"))
+    # nondeterministic: else the optimiser runs the functions once more in filters that it infers from explode
+    left = rows.select("block", "w", F.col("t").alias("a"), index.asNondeterministic()("t").alias("ks")).select("block", "w", "a", F.explode("ks").alias("k")).select("block", "w", "a", F.xxhash64("block", "k").alias("key"))
+    right = rows.select("block", "w", F.col("t").alias("b"), probe.asNondeterministic()("t").alias("ks")).select("block", "w", "b", F.explode("ks").alias("k")).select(F.col("block").alias("block2"), F.col("w").alias("w2"), "b", F.xxhash64("block", "k").alias("key"))
     found = left.join(right, "key").where("a != b and block = block2" + (" and w != w2" if wanted else ""))
     if wanted:
         return found.select("block", F.when(F.col("w"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("w"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
