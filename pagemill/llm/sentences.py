@@ -80,6 +80,18 @@ def _thai(c: str) -> bool:
     return "฀" <= c <= "๿"
 
 
+def _run_on(text: str, start: int, end: int) -> bool:
+    """Whether a unit may end at a stop without a space after it: a small letter or sign before, a capital after, in no address."""
+    before, after, more = text[start - 1 : start], text[end], text[end + 1 : end + 2]
+    if before.islower() or before in ("²", "³", ")", "%") or before.isdigit():
+        if not (after.isupper() and (more.islower() or more.isspace() or more in ("'", "’") or text[end : end + 3].isupper() and text[end : end + 3].isalpha())):
+            return False
+    elif not (before.isalpha() and after.isalpha() and _kind(before) == _kind(after) == "x"):
+        return False
+    token = re.search(r"\S*$", text[:start])[0] + re.match(r"\S*", text[start:])[0]
+    return "@" not in token and "/" not in token
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Candidate boundaries as (end of the unit before, start of the unit after)."""
     n = len(text.rstrip())
@@ -97,7 +109,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
         k = end
         while k < n and text[k].isspace():
             k += 1
-        if k == end < n and text[start] in ".!?" and text[end].isupper() and text[end + 1 : end + 2].islower() and text[start - 1 : start].islower() and "@" not in (token := re.search(r"\S*$", text[:start])[0] + re.match(r"\S*", text[start:])[0]) and "/" not in token:
+        if k == end < n and text[start] in ".!?؟" and _run_on(text, start, end):
             out.append((end, k))  # the space is missing
             continue
         if k >= n or (k == end and not (_cjk(text[end]) or text[end - 1] in WIDE or text[start] in WIDE or _cjk(text[end - 1]))):
@@ -125,6 +137,11 @@ _LEFT = re.compile(r"(\S+?)(\s*)$")
 _WORD = re.compile(r"[^\W\d_]+(?:[.'’-][^\W\d_]+)*|\d+")
 
 
+def _holder(word: str) -> str:
+    """What a single capital stands after: a number or a unit of a house, or a word such as a given name."""
+    return "u" if word.lower() in ("unit", "flat", "apt", "suite", "block", "type", "model", "plan") else _kind(word[0])
+
+
 def _left_key(text: str, end: int) -> str:
     token = (text[max(0, end - 60) : end].split() or [""])[-1]
     core = token.rstrip(CLOSERS)
@@ -132,7 +149,7 @@ def _left_key(text: str, end: int) -> str:
     if any(_cjk(c) or _thai(c) for c in word[-3:]):
         return word[-3:] + core[len(word) :][-1:]
     if len(word) == 1 and word.isupper():  # a house's letter or an initial
-        word += _kind((text[max(0, end - 60) : end - len(token)].split() or ["-"])[-1][0])
+        word += _holder((text[max(0, end - 60) : end - len(token)].split() or ["-"])[-1])
     return re.sub(r"\d", "9", word) + core[len(core.rstrip(STOPS)) :][-1:] + ("q" if len(core) < len(token) else "")
 
 
@@ -186,6 +203,8 @@ def left_features(text: str, end: int, floor: int = 0, history: str = "u") -> li
     before = body[: len(body) - len(token)].split()[-1:] or [""]
     pair = ["Lp" + _kind(before[0][:1] or "-") + ("1" if len(word) == 1 and word.isupper() else "")]
     pair += ["Lv" + _wordlike(word) + history]
+    if len(word) == 1 and word.isupper():
+        word += _holder(before[0] or "-")  # a house's letter or an initial
     return pair + ["L" + word + stop + closed, "Ls" + stop[-1:] + closed, "Lx" + history, f"Ll{min(len(word), 5)}" + stop[-1:], "Lh" + shape + stop[-1:], "Ld" * any(c.isdigit() for c in word) + "L."]
 
 
@@ -282,7 +301,7 @@ def split(text: str, model: dict[str, float]) -> list[int]:
         left = left_features(text, end, floor, _STATE[model.get("#L" + _left_key(text, end), 0.0)])
         right = right_features(text, start, _STATE[model.get("#R" + _right_key(text, start), 0.0)])
         sure = any(x[:3] == "Rxe" for x in right)
-        if not sure and (end == start and text[end].isupper() or _thai(text[start]) and text[end - 1].isalnum() and not _thai(text[end - 1]) or text[:end].endswith(("...", "…", *"\"'”“’»«」』")) and _kind(text[start]) in ("x", "th", "cjk")):
+        if not sure and (end == start and not _cjk(text[end]) and not _cjk(text[end - 1]) or _thai(text[start]) and text[end - 1].isalnum() and not _thai(text[end - 1]) or text[:end].endswith(("...", "…", *"\"'”“’»«」』")) and _kind(text[start]) in ("x", "th", "cjk")):
             continue  # only a known opener stands there
         if maxent.score(model, _both(left, right)) > 0:
             out.append(end)
