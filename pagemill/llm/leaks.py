@@ -123,7 +123,8 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     parts.unpersist()
     shared = documents.sparkSession.sparkContext.broadcast(item_words)
     chosen = anchors(tokens(items, "item_id", "item_text").distinct(), frequency)
-    hits = postings.join(F.broadcast(chosen), "term").select(key, "item_id", "at", F.explode("places").alias("place"))
+    few = len(item_words) * 12 <= MOST_TERMS  # twelve anchors an item
+    hits = postings.join(F.broadcast(chosen) if few else chosen, "term").select(key, "item_id", "at", F.explode("places").alias("place"))
     grouped = hits.groupBy(key, "item_id").agg(F.collect_list(F.struct("place", "at")).alias("hits"), F.count_distinct("at").alias("n")).where("n >= 2")
 
     @F.pandas_udf("array<struct<lo:int,hi:int>>")

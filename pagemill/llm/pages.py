@@ -22,13 +22,17 @@ class Memo(dict):
         return out
 
 
-def sample_pages(df: DataFrame, pages: int, *columns: str) -> list:
+def sample_pages(df: DataFrame, pages: int, *columns: str, chars: int = 5000, most: int = 400) -> list:
     """The given columns of `pages` pages, the first by hash of their id: the bounded sample that models are fitted on.
 
-    Ids are chosen on the id column alone; at most `pages` ids are broadcast.
+    Of every list the first `most` entries (groups, for lists of lists) of at most `chars` characters; so the driver's share is bounded
+    whatever a page holds. Ids are chosen on the id column alone; at most `pages` ids are broadcast.
     """
+    short = lambda c: F.slice(F.filter(c, lambda x: F.length(x) <= chars), 1, most)
+    kinds = dict(df.dtypes)
+    bounded = {"array<string>": lambda c: short(F.col(c)), "array<array<string>>": lambda c: F.transform(F.slice(F.col(c), 1, most), short), "string": lambda c: F.substring(c, 1, chars)}
     ids = df.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(pages)
-    chosen = df.select("page_id", *columns).join(F.broadcast(ids), "page_id", "left_semi")
+    chosen = df.select("page_id", *[bounded[kinds[c]](c).alias(c) for c in columns]).join(F.broadcast(ids), "page_id", "left_semi")
     return chosen.dropDuplicates(["page_id"]).orderBy("page_id").collect()
 
 
