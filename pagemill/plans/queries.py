@@ -27,7 +27,16 @@ def query(sql: str = ""):
     return add
 
 
-@query()
+#: JSON objects of a block by the database's own tree, which reads loosely: blocks with trailing commas, comments or NaN are taken out.
+_OBJECTS = r"""WITH b AS (SELECT DISTINCT page_id, CAST(i AS INT) AS block, json_ld[i + 1] AS j FROM sentences, UNNEST(range(len(json_ld))) AS t(i)),
+ v AS (SELECT * FROM b WHERE json_valid(j) AND NOT regexp_matches(regexp_replace(j, '"(?:[^"\\]|\\.)*"', '""', 'g'), ',\s*[\]}]|[Nn]a[Nn]|[Ii]nf|/\*|//')),
+ o AS (SELECT DISTINCT page_id, block, regexp_replace(n.fullkey, '\."([^"]*)"', '.\1', 'g') AS path FROM v, json_tree(v.j) AS n WHERE n.type = 'OBJECT')
+ SELECT o.page_id, o.block, o.path, coalesce(max_by(q.path, length(q.path)), '') AS parent_path
+ FROM o LEFT JOIN o AS q ON o.page_id = q.page_id AND o.block = q.block AND (starts_with(o.path, q.path || '.') OR starts_with(o.path, q.path || '['))
+ GROUP BY ALL"""
+
+
+@query(_OBJECTS)
 def p3_found(spark, d):
     rows = flatten_records(spread(table(spark, d, "sentences", "page_id", "json_ld")), "page_id", "json_ld", payloads=False)
     return rows.select("page_id", "block", "path", "parent_path")
