@@ -26,7 +26,7 @@ from pagemill.packing import map_units, packed
 from pagemill.sources.tables import cut
 
 #: Words that open links to other pages, adverts, and site notices.
-_ALSO = re.compile(r"(?i)^(?:læs også|se også|läs (?:också|även)|read (?:also|more|next)|see also|lesen sie auch|siehe auch|lire aussi|à lire|lea también|lee también|leggi anche|lees ook|leia também|читайте также|читайте також|اقرأ أيضا|関連記事|相关阅读|อ่านเพิ่มเติม)\b\s*[:：]")
+_ALSO = re.compile(r"(?i)^(?:læs også|se også|läs (?:också|även)|read (?:also|more|next)|see also|lesen sie auch|siehe auch|(?:à )?lire aussi|à lire|lea también|lee también|leggi anche|lees ook|leia também|читайте также|читайте також|اقرأ أيضا|関連記事|相关阅读|อ่านเพิ่มเติม)\b\s*[:：]")
 _ADVERT = re.compile(r"(?i)^(?:annonce|advertisement|advert|sponsored|sponsoreret|anzeige|werbung|annons|publicité|publicidad|publicidade|pubblicità|advertentie|reklame|реклама|إعلان|広告|广告|โฆษณา)\W*$")
 _SITE = re.compile(r"(?i)cookie|©|\ball rights\b|rettigheder|newsletter|nyhedsbrev|nyhetsbrev|unsubscribe|afmelde")
 _CONTACT = re.compile(r"@|\d{2}[ .]?\d{2}[ .]\d{2}|^(?:tel|phone|mail|e-mail|tlf)\w*\W", re.I)
@@ -225,11 +225,14 @@ def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[boo
 
 #: Smoothness: neighbours in a group, member and hub, neighbouring groups' hubs.
 NEXT, HUB, BESIDE = 0.4, 0.3, 0.1
+#: Least cost of keeping a link to another page or an advert's label.
+SURE = 4.0
 
 
 def label(page: Page, model: dict[str, float]) -> list[bool]:
     """True for the boilerplate among the page's elements of text_nodes."""
     costs = [max(-12.0, min(12.0, maxent.score(model, f))) for f in page.features()]
+    costs = [max(c, SURE) if u["flags"] & 3 else c for c, u in zip(costs, page.units)]
     edges, hubs = [], {}
     for g in page.order:
         members = page.groups[g]
