@@ -106,7 +106,11 @@ def _bmp(data: bytes) -> np.ndarray:
 
 def dominant(data: bytes, has_alpha: bool = False, down_size_to: float = 10_000.0, small_bucket: float = 0.01) -> list[list[float]]:
     """The palette of an image. has_alpha has no effect, pixels are always read as three channels."""
-    pixels = decode(data)
+    return dominant_pixels(decode(data), down_size_to, small_bucket)
+
+
+def dominant_pixels(pixels: np.ndarray, down_size_to: float = 10_000.0, small_bucket: float = 0.01) -> list[list[float]]:
+    """The palette of rows of r, g, b."""
     step = max(1, int(len(pixels) // max(1.0, down_size_to)))
     sample = pixels[::step].astype(np.int64)
     if not len(sample):
@@ -133,3 +137,17 @@ def palette(data: Column, has_alpha: bool = False, down_size_to: float = 10_000.
 
     run.__annotations__ = {"images": pa.Array, "return": pa.Array}
     return once(run, "array<array<float>>")(data)
+
+
+def decoded_palette(pixels: Column, channels: Column, down_size_to: float = 10_000.0, small_bucket: float = 0.01) -> Column:
+    """The palette of images that Spark has decoded: BGR bytes of 3 or 4 channels, or grey ones of 1; null for other images."""
+
+    def run(data: pa.Array, counts: pa.Array) -> pa.Array:
+        out = []
+        for x, n in zip(data.to_pylist(), counts.to_pylist()):
+            grid = None if x is None or n not in (1, 3, 4) else np.frombuffer(x, np.uint8).reshape(-1, n)
+            out.append(None if grid is None else dominant_pixels(np.repeat(grid, 3, 1) if n == 1 else grid[:, 2::-1], down_size_to, small_bucket))
+        return pa.array(out, pa.list_(pa.list_(pa.float32())))
+
+    run.__annotations__ = {"data": pa.Array, "counts": pa.Array, "return": pa.Array}
+    return once(run, "array<array<float>>")(pixels, channels)

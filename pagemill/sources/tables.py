@@ -45,11 +45,24 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_CUT: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that cut has written in this process, once the results that read them are saved; how many there were."""
+    done = 0
+    while _CUT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_CUT.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and keeps the work if executors are lost."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _CUT.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,3 +76,8 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Image files as (path, data)."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("data"))
+
+
+def read_decoded_images(spark: SparkSession, path: str) -> DataFrame:
+    """Image files of all kinds that the JVM can decode (JPEG and GIF too) as (path, width, height, channels, pixels in BGR order)."""
+    return spark.read.format("image").load(path).select(F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"))

@@ -53,6 +53,14 @@ def test_colours(spark):
     assert rows[0].y == [0.0, 100.0, 50.0] and rows[1].y == [0.0, 0.0, 0.0] and rows[3].y[1] == 0.0 and math.isclose(rows[4].y[0], 210.0, abs_tol=1e-4)
 
 
+def test_decoded_images(spark, tmp_path):
+    from pagemill.sources.tables import read_decoded_images
+
+    (tmp_path / "a.png").write_bytes(png(4, 1, [(255, 0, 0)] * 3 + [(0, 0, 250)]))
+    r = read_decoded_images(spark, str(tmp_path)).select("width", C.decoded_palette(F.col("pixels"), F.col("channels")).alias("p")).first()
+    assert r.width == 4 and r.p == [[255.0, 0.0, 0.0], [0.0, 0.0, 250.0]]
+
+
 def test_names(spark):
     assert parse("Dr. Elizabeth Johannes von Hassskov Jr.") == {"honorific_prefix": "Dr.", "given_name": "Elizabeth", "middle_name": "Johannes", "middle_initials": "J", "surname": "von Hassskov", "generational_suffix": "Jr."}
     assert parse("Hassskov, Liz J.") == {"given_name": "Liz", "middle_initials": "J", "surname": "Hassskov"}

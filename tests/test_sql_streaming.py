@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pagemill.operators.pages import with_sentences
 from pagemill.plans import queries
 from pagemill.plans.register import register
-from pagemill.sources.tables import cut, read_images, read_pages, spread
+from pagemill.sources.tables import cut, read_images, read_pages, release, spread
 from pagemill.streaming import rows as S
 
 HTML = "<html lang=da><h1>Top | two</h1><p>one two three.</p><a href=/x>mail a@b.com</a></html>"
@@ -38,7 +38,7 @@ def test_sources(spark, tmp_path):
     assert read_pages(spark, str(tmp_path / "a.html"), "files").first().html == HTML
     assert bytes(read_images(spark, str(tmp_path / "a.html")).first().data).decode() == HTML
     df = spread(spark.range(3).coalesce(1))
-    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and cut(df).count() == 3
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and cut(df).count() == 3 and release(spark) >= 1 and release(spark) == 0
 
 
 def test_one_parse_a_row_and_pruned_scans(spark, tmp_path):
