@@ -160,6 +160,11 @@ def given_fits(a: str, b: str, learnt: bool, rare: bool) -> bool:
     return rare and len(small) >= 3 and (big.startswith(small) or (len(small) >= 4 and big.endswith(small)))
 
 
+def initials(given: str, initial: str) -> set[str]:
+    """The letters that may stand for a given name: its own first and those of the names that it is short for."""
+    return {initial or given[:1]} | {b[0] for b in _BASES.get(given, ())}
+
+
 def _parts_of(given: pd.Series, middle: pd.Series, initials: pd.Series, surname: pd.Series, raw: pd.Series, employer: pd.Series, town: pd.Series) -> pd.DataFrame:
     out = []
     for g, m, mi, s, r, e, t in zip(given, middle, initials, surname, raw, employer, town):
@@ -268,19 +273,21 @@ def entities(names: DataFrame) -> DataFrame:
     learnt = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").join(seen.select(F.col("g").alias("x"), F.col("c").alias("cx")), "x").join(seen.select(F.col("g").alias("y"), F.col("c").alias("cy")), "y").where("n >= 0.25 * least(cx, cy)").select("x", "y", F.lit(True).alias("learnt"))
 
     @F.pandas_udf("boolean")
-    def fits(g1: pd.Series, g2: pd.Series, i1: pd.Series, i2: pd.Series, n1: pd.Series, n2: pd.Series, m1: pd.Series, m2: pd.Series, known: pd.Series) -> pd.Series:
+    def fits(s1: pd.Series, s2: pd.Series, g1: pd.Series, g2: pd.Series, i1: pd.Series, i2: pd.Series, n1: pd.Series, n2: pd.Series, m1: pd.Series, m2: pd.Series, known: pd.Series) -> pd.Series:
         out = []
-        for a, b, x, y, p, q, u, v, k in zip(g1, g2, i1, i2, n1, n2, m1, m2, known):
+        for e, f, a, b, x, y, p, q, u, v, k in zip(s1, s2, g1, g2, i1, i2, n1, n2, m1, m2, known):
             if u and v and len(u) > 1 and len(v) > 1 and distance(u, v, 2) > 2 and not _nick(u, v):
                 out.append(False)
+            elif a and b and a != b and distance(e, f, 1) > 1:
+                out.append(False)  # two edits in the surname and another given name are too much
             elif a and b:
                 out.append(given_fits(a, b, bool(k), min(p, q) < common))
             else:
-                out.append(not x or not y or x == y)
+                out.append(not x or not y or bool(initials(a, x) & initials(b, y)))
         return pd.Series(out)
 
     judged = full.join(learnt, (F.least("g1", "g2") == F.col("x")) & (F.greatest("g1", "g2") == F.col("y")), "left").withColumn("learnt", F.coalesce("learnt", F.lit(False)))
-    links = cut(judged.where(fits("g1", "g2", "i1", "i2", "ng1", "ng2", "m1", "m2", "learnt")).select("node1", "node2", "g1", "g2", "firm1", "firm2", "mi1", "mi2", "suffix1", "suffix2"), "fits")
+    links = cut(judged.where(fits("s1", "s2", "g1", "g2", "i1", "i2", "ng1", "ng2", "m1", "m2", "learnt")).select("node1", "node2", "g1", "g2", "firm1", "firm2", "mi1", "mi2", "suffix1", "suffix2"), "fits")
     sure = "(g{0} != '' and firm{0} != '')"
     strong = links.where(f"{sure.format(1)} and {sure.format(2)}").select(F.col("node1").alias("a"), F.col("node2").alias("b"))
     comps = components(strong, forms.select("node"))
