@@ -287,26 +287,32 @@ def entities(names: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     judged = full.join(learnt, (F.least("g1", "g2") == F.col("x")) & (F.greatest("g1", "g2") == F.col("y")), "left").withColumn("learnt", F.coalesce("learnt", F.lit(False)))
-    links = cut(judged.where(fits("s1", "s2", "g1", "g2", "i1", "i2", "ng1", "ng2", "m1", "m2", "learnt")).select("node1", "node2", "g1", "g2", "firm1", "firm2", "mi1", "mi2", "suffix1", "suffix2"), "fits")
+    links = cut(judged.where(fits("s1", "s2", "g1", "g2", "i1", "i2", "ng1", "ng2", "m1", "m2", "learnt")).select("node1", "node2", "g1", "g2", "i1", "i2", "s1", "s2", "firm1", "firm2", "mi1", "mi2", "suffix1", "suffix2"), "fits")
     sure = "(g{0} != '' and firm{0} != '')"
     strong = links.where(f"{sure.format(1)} and {sure.format(2)}").select(F.col("node1").alias("a"), F.col("node2").alias("b"))
     comps = components(strong, forms.select("node"))
-    comps = _attach(comps, links.where("g1 != '' and g2 != ''"), forms.where("g != '' and firm = ''").select("node"))
-    comps = _attach(comps, links, forms.where("g = ''").select("node"))
+    # what leaves something open joins by the likest spelling that fits anybody
+    comps = _attach(comps, links.where("g1 != '' and g2 != ''"), forms.where("g != '' and firm = ''").select("node"), ("s1 = s2 and g1 = g2", "s1 = s2 or g1 = g2", "true"))
+    comps = _attach(comps, links, forms.where("g = ''").select("node"), ("s1 = s2 and i1 = i2", "i1 = i2", "true"))
     out = rows.select("name_id", "node").distinct().join(comps, "node").select("name_id", F.col("comp").alias("entity")).distinct()
     size = out.groupBy("entity").agg((F.count(F.lit(1)) - 1).alias("links"))
     return out.join(size, "entity").select("name_id", "entity", "links")
 
 
-def _attach(comps: DataFrame, links: DataFrame, loose: DataFrame) -> DataFrame:
-    """The components after loose nodes joined the one component that they fit. Where several fit, a node stays alone; loose nodes that
-    fit no other component link among themselves."""
-    both = links.select(F.col("node1").alias("a"), F.col("node2").alias("b")).union(links.select(F.col("node2").alias("a"), F.col("node1").alias("b")))
-    mine = both.join(loose.withColumnRenamed("node", "a"), "a", "left_semi")
-    firm = mine.join(loose.withColumnRenamed("node", "b"), "b", "left_anti").join(comps.withColumnRenamed("node", "b"), "b")
-    fit = firm.groupBy("a").agg(F.min("comp").alias("one"), F.max("comp").alias("other"))
-    chosen = fit.where("one = other").select(F.col("a").alias("node"), F.col("one").alias("joined"))
-    free = loose.join(fit.select(F.col("a").alias("node")), "node", "left_anti")
+def _attach(comps: DataFrame, links: DataFrame, loose: DataFrame, stages: tuple[str, ...]) -> DataFrame:
+    """The components after loose nodes joined the one component that they fit, stage by stage of ever weaker links. Where several fit, a
+    node stays alone; loose nodes that fit no other component link among themselves."""
+    both = links.withColumnsRenamed({"node1": "a", "node2": "b"}).unionByName(links.withColumnsRenamed({"node2": "a", "node1": "b"}))
+    mine = cut(both.join(loose.withColumnRenamed("node", "a"), "a", "left_semi"), "mine")
+    fixed = cut(comps.join(loose, "node", "left_anti"), "fixed")
+    outer = mine.join(fixed.withColumnRenamed("node", "b"), "b")
+    best = None
+    for rank, stage in enumerate(stages):
+        fit = outer.where(stage).groupBy("a").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).withColumn("rank", F.lit(rank))
+        best = fit if best is None else best.unionByName(fit)
+    fit = cut(best.groupBy("a").agg(F.min_by(F.struct("one", "other"), "rank").alias("v")).select(F.col("a").alias("node"), "v.*"), "fit")
+    chosen = fit.where("one = other").select("node", F.col("one").alias("joined"))
+    free = loose.join(fit.select("node"), "node", "left_anti")
     among = mine.join(free.withColumnRenamed("node", "a"), "a", "left_semi").join(free.withColumnRenamed("node", "b"), "b", "left_semi")
     alone = components(among, free).select("node", F.col("comp").alias("joined2"))
     return cut(comps.join(chosen, "node", "left").join(alone, "node", "left").select("node", F.coalesce("joined", "joined2", "comp").alias("comp")), "attached")
