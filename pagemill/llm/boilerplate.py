@@ -16,6 +16,7 @@ import math
 import re
 from collections import defaultdict, deque
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,10 @@ from pagemill.sources.tables import cut
 #: Words that open links to other pages, adverts, and site notices.
 _ALSO = re.compile(r"(?i)^(?:læs også|se også|läs (?:också|även)|read (?:also|more|next)|see also|lesen sie auch|siehe auch|(?:à )?lire aussi|à lire|lea también|lee también|leggi anche|lees ook|leia também|читайте также|читайте також|اقرأ أيضا|関連記事|相关阅读|อ่านเพิ่มเติม)\b\s*[:：]")
 _ADVERT = re.compile(r"(?i)^(?:annonce|advertisement|advert|sponsored|sponsoreret|anzeige|werbung|annons|publicité|publicidad|publicidade|pubblicità|advertentie|reklame|реклама|إعلان|広告|广告|โฆษณา)\W*$")
-_SITE = re.compile(r"(?i)cookie|©|\ball rights\b|rettigheder|newsletter|nyhedsbrev|nyhetsbrev|unsubscribe|afmelde")
+_SITE = ("cookie", "©", "all rights", "rettigheder", "newsletter", "nyhedsbrev", "nyhetsbrev", "unsubscribe", "afmelde")
+_DIGIT = re.compile(r"\d")
+#: A line of contact is at most so long.
+CONTACT_LINE = 160
 _CONTACT = re.compile(r"@|\d{2}[ .]?\d{2}[ .]\d{2}|^(?:tel|phone|mail|e-mail|tlf)\w*\W", re.I)
 UNITS = {"field": "smallint", "pos": "int", "item": "int", "e": "bigint", "n": "bigint", "flags": "int"}
 
@@ -43,8 +47,10 @@ def describe(text: str) -> tuple[int, int, int]:
     core = " ".join(text.split())
     core = core[:-1] if core[-1:] in (".", ",") else core
     e = _hash(core)
-    long_ = core.count(" ") >= 2 and any(map(str.isdigit, core)) and not _CONTACT.search(core)
-    flags = bool(_ALSO.match(core)) | bool(_ADVERT.match(core)) << 1 | bool(_SITE.search(core)) << 2 | bool(_CONTACT.search(core)) << 3
+    contact = len(core) <= CONTACT_LINE and bool(_CONTACT.search(core))
+    long_ = not contact and core.count(" ") >= 2 and bool(_DIGIT.search(core))
+    low = core.lower()
+    flags = bool(_ALSO.match(core)) | bool(_ADVERT.match(core)) << 1 | any(w in low for w in _SITE) << 2 | contact << 3
     flags |= (text.rstrip()[-1:] in ".!?。！？؟…") << 4 | (core[-1:] in ":：") << 5 | ("©" in core) << 6 | min(15, int(math.log2(len(core) + 1))) << 8
     return e, _hash(re.sub(r"\d+", "9", core)) if long_ else e, flags
 
@@ -86,81 +92,81 @@ def _bin(x: float) -> str:
     return "0" if x <= 0 else "a" if x < 0.1 else "b" if x < 0.2 else "c" if x < 0.35 else "d" if x < 0.6 else "e"
 
 
+def expand(key: tuple) -> list[str]:
+    """The classifier's features of an element, from its discrete properties."""
+    s, w, n, where, led, first, mean, size, entries, twice, f = key
+    return [
+        "s" + s, "g" + w, f"n{n}", "w" + where, f"l{led:d}" + ("f" if first else "r"), "m" + mean, f"L{f >> 8}", f"p{f >> 4 & 1}", "sg" + s + w, "ws" + where + s, "wm" + where + mean, f"z{size}{where}", f"tw{twice:d}{where}",
+        *(["entries"] if entries else []), *(["also"] if f & 1 else []), *(["advert"] if f & 2 else []), *(["site"] if f & 4 else []), *(["contact" + where] if f & 8 else []), *(["rights"] if f & 64 else []), *(["colon" + w] if f & 32 else []),
+    ]
+
+
 class Page:
-    """The elements of text_nodes of one page with their features."""
-
-    def __init__(self, units: list[dict], stats: list[dict]):
-        self.units = [u for u in units if u["field"] == 1]
-        self.other = [u for u in units if u["field"] != 1]
-        best: dict[int, tuple[float, float, int]] = {}
-        for s in stats:
-            best[s["hash"]] = (s["share"], s["g"], s["hosts"])
+    """The elements of one page, as (field, pos, item, e, n, flags), and how their texts recur, as (hash, share, g, hosts)."""
+
+    def __init__(self, units: list[tuple], stats: list[tuple]):
+        self.units = [u for u in units if u[0] == 1]
+        self.other = [u for u in units if u[0] != 1]
+        best = {s[0]: s[1:] for s in stats}
         nothing = (0.0, 0.0, 0)
-        self.stat = [max(best.get(u["e"], nothing), best.get(u["n"], nothing)) for u in self.units]
+        self.stat = [best.get(u[3], nothing) if u[3] == u[4] else max(best.get(u[3], nothing), best.get(u[4], nothing)) for u in self.units]
         self.groups: dict[int, list[int]] = defaultdict(list)
+        times: dict[int, int] = defaultdict(int)
         for i, u in enumerate(self.units):
-            self.groups[u["pos"]].append(i)
-        heads = {u["e"] for u in self.other if u["field"] == 3} or ({self.units[0]["e"]} if self.units else set())
-        order = list(self.groups)
-        own = [g for g in order[1:] if any(self.units[i]["e"] in heads for i in self.groups[g])]
+            self.groups[u[1]].append(i)
+            times[u[3]] += 1
+        heads = {u[3] for u in self.other if u[0] == 3} or ({self.units[0][3]} if self.units else set())
+        self.order = order = list(self.groups)
+        own = [g for g in order[1:] if any(self.units[i][3] in heads for i in self.groups[g])]
         self.title = order[0] if order else -1
         self.head = own[0] if own else -1
-        self.order = order
-        times: dict[int, int] = defaultdict(int)
-        for u in self.units:
-            times[u["e"]] += 1
-        self.twice = [times[u["e"]] > 1 for u in self.units]
-        at = order.index(self.head) if self.head in order else len(order)
+        self.at_head = order.index(self.head) if self.head in self.groups else -1
+        self.twice = [times[u[3]] > 1 for u in self.units]
+        at = self.at_head if self.at_head >= 0 else len(order)
         #: groups directly under the headline that list contacts, and the next one if it opens with a line found elsewhere on the page (the firm)
-        self.entries = {g for g in order[at + 1 : at + 2] if sum(self.units[i]["flags"] >> 3 & 1 for i in self.groups[g]) >= 2}
+        self.entries = {g for g in order[at + 1 : at + 2] if sum(self.units[i][5] >> 3 & 1 for i in self.groups[g]) >= 2}
         if self.entries:
             self.entries |= {g for g in order[at + 2 : at + 3] if self.twice[self.groups[g][0]] and len(self.groups[g]) <= 4 and g != order[-1]}
 
     def leads(self, g: int) -> bool:
         """Whether a group opens with a heading that recurs on other stories."""
         i = self.groups[g][0]
-        return len(self.groups[g]) > 1 and g not in (self.title, self.head) and not self.twice[i] and not self.units[i]["flags"] & 64 and (self.stat[i][0] >= 0.2 or self.stat[i][1] >= 0.15)
+        return len(self.groups[g]) > 1 and g not in (self.title, self.head) and not self.twice[i] and not self.units[i][5] & 64 and (self.stat[i][0] >= 0.2 or self.stat[i][1] >= 0.15)
 
-    def features(self) -> list[list[str]]:
-        out: list[list[str]] = []
-        at_head = self.order.index(self.head) if self.head in self.order else -1
-        closed = False
+    def keys(self) -> list[tuple]:
+        """The discrete properties of every element, in order."""
+        out: list[tuple] = []
+        closed, last = False, len(self.order) - 1
         for k, g in enumerate(self.order):
-            size, led, entries = len(self.groups[g]), self.leads(g), g in self.entries
-            mean = sum(self.stat[i][0] for i in self.groups[g]) / size
-            where = "t" if g == self.title else "h" if g == self.head else "?" if at_head < 0 else "b" if k < at_head else "e" if k == len(self.order) - 1 else "x" if closed else "m"
-            closed = closed or (at_head >= 0 and k > at_head and (led or mean >= 0.5) and not entries)
-            for j, i in enumerate(self.groups[g]):
+            members = self.groups[g]
+            size, led, entries = len(members), self.leads(g), g in self.entries
+            mean = sum(self.stat[i][0] for i in members) / size
+            where = "t" if g == self.title else "h" if g == self.head else "?" if self.at_head < 0 else "b" if k < self.at_head else "e" if k == last else "x" if closed else "m"
+            closed = closed or (self.at_head >= 0 and k > self.at_head and (led or mean >= 0.5) and not entries)
+            bin_, first, small = _bin(mean), True, min(size, 4)
+            for i in members:
                 s, w, n = self.stat[i]
-                f = self.units[i]["flags"]
-                out.append([
-                    "s" + _bin(s), "g" + _bin(w), f"n{min(n, 3)}", "w" + where, "l" + ("1" if led else "0") + ("f" if j == 0 else "r"), "m" + _bin(mean),
-                    f"L{f >> 8}", f"p{f >> 4 & 1}", "sg" + _bin(s) + _bin(w), "ws" + where + _bin(s), "wm" + where + _bin(mean), f"z{min(size, 4)}{where}",
-                    *(["entries"] if entries else []), "tw" + str(int(self.twice[i])) + where, *(["also"] if f & 1 else []), *(["advert"] if f & 2 else []), *(["site"] if f & 4 else []), *(["contact" + where] if f & 8 else []), *(["rights"] if f & 64 else []), *(["colon" + _bin(w)] if f & 32 else []),
-                ])
+                out.append((_bin(s), _bin(w), min(n, 3), where, led, first, bin_, small, entries, self.twice[i], self.units[i][5]))
+                first = False
         return out
 
     def reliable(self) -> list[float | None]:
         """1 for sure boilerplate, 0 for sure content, None for the rest."""
         out: list[float | None] = []
-        at_head = self.order.index(self.head) if self.head in self.order else -1
         for k, g in enumerate(self.order):
             first = self.groups[g][0]
-            led, own = self.leads(g), at_head >= 0 and k > at_head and self.stat[first][0] < 0.1 and self.stat[first][1] < 0.1 and k < len(self.order) - 1
+            led, after = self.leads(g), 0 <= self.at_head < k < len(self.order) - 1
+            own = after and self.stat[first][0] < 0.1 and self.stat[first][1] < 0.1
             for i in self.groups[g]:
                 s, w, _ = self.stat[i]
-                f = self.units[i]["flags"]
+                f = self.units[i][5]
                 if f & 67:
                     out.append(1.0)
-                elif g in (self.title, self.head) or g in self.entries:
-                    out.append(0.0)
-                elif own and s < 0.35:
+                elif g in (self.title, self.head) or g in self.entries or (own and s < 0.35):
                     out.append(0.0)
                 elif s >= 0.4 or led:
                     out.append(1.0)
-                elif at_head >= 0 and k == at_head + 1 and s < 0.1 and w < 0.1:
-                    out.append(0.0)
-                elif at_head >= 0 and k > at_head and s < 0.1 and f >> 8 >= 6 and k < len(self.order) - 1:
+                elif self.at_head >= 0 and k == self.at_head + 1 and s < 0.1 and w < 0.1 or (after and s < 0.1 and f >> 8 >= 6):
                     out.append(0.0)
                 else:
                     out.append(None)
@@ -229,39 +235,54 @@ NEXT, HUB, BESIDE = 0.4, 0.3, 0.1
 SURE = 4.0
 
 
-def label(page: Page, model: dict[str, float]) -> list[bool]:
+def costs_of(model: dict[str, float]) -> Memo:
+    """Costs by an element's discrete properties: how much more it costs to keep it than to drop it."""
+
+    def cost(key: tuple) -> float:
+        c = max(-12.0, min(12.0, maxent.score(model, expand(key))))
+        return max(c, SURE) if key[-1] & 3 else c
+
+    return Memo(cost, 30_000_000)
+
+
+def label(page: Page, costs: Memo) -> list[bool]:
     """True for the boilerplate among the page's elements of text_nodes."""
-    costs = [max(-12.0, min(12.0, maxent.score(model, f))) for f in page.features()]
-    costs = [max(c, SURE) if u["flags"] & 3 else c for c, u in zip(costs, page.units)]
-    edges, hubs = [], {}
+    cost, edges, hubs = [costs[k] for k in page.keys()], [], {}
     for g in page.order:
         members = page.groups[g]
-        hubs[g] = len(costs)
-        costs.append(0.0)
+        hubs[g] = len(cost)
+        cost.append(0.0)
         edges += [(a, b, NEXT) for a, b in zip(members, members[1:])] + [(i, hubs[g], HUB) for i in members]
     edges += [(hubs[a], hubs[b], BESIDE) for a, b in zip(page.order, page.order[1:])]
-    return min_cut(costs, edges)[: len(page.units)]
+    return min_cut(cost, edges)[: len(page.units)]
 
 
-def boilerplate_rows(page: Page, model: dict[str, float]) -> list[tuple]:
+def boilerplate_rows(page: Page, costs: Memo) -> list[tuple]:
     """(field, pos, item) of the boilerplate of all fields. An element of p or h takes the label of its text in text_nodes, in order where it
     occurs as often there, else content if any is; without such a text it is content."""
-    labels = label(page, model)
-    rows = [(1, u["pos"], u["item"]) for u, bad in zip(page.units, labels) if bad]
+    labels = label(page, costs)
+    rows = [u[:3] for u, bad in zip(page.units, labels) if bad]
     places: dict[int, list[bool]] = defaultdict(list)
     for u, bad in zip(page.units, labels):
-        if u["pos"] != page.title or len(page.order) == 1:
-            places[u["e"]].append(bad)
-    seen: dict[tuple, list[dict]] = defaultdict(list)
+        if u[1] != page.title or len(page.order) == 1:
+            places[u[3]].append(bad)
+    seen: dict[tuple, list[tuple]] = defaultdict(list)
     for u in page.other:
-        seen[(u["field"] == 0, u["e"])].append(u)
+        seen[(u[0] == 0, u[3])].append(u)
     for (_, e), own in seen.items():
         found = places.get(e, [])
         bad = found if len(found) == len(own) else [bool(found) and all(found)] * len(own)
-        rows += [(u["field"], u["pos"], u["item"]) for u, b in zip(own, bad) if b]
+        rows += [u[:3] for u, b in zip(own, bad) if b]
     return rows
 
 
+def _lists(column: pa.ListArray) -> list[list[tuple]]:
+    """A list<struct> column as lists of tuples, by column: no dictionary per struct."""
+    at, values = column.offsets.to_pylist(), column.values
+    flat = list(zip(*(values.field(i).to_pylist() for i in range(values.type.num_fields))))
+    return [flat[a:b] for a, b in zip(at, at[1:])]
+
+
 def boilerplate(df: DataFrame, pages: int = 1500) -> DataFrame:
     """(page_id, field, pos, item) of the boilerplate elements of text_nodes, p and h1…h6 of pages(page_id, host, h, p, text_nodes).
 
@@ -274,16 +295,17 @@ def boilerplate(df: DataFrame, pages: int = 1500) -> DataFrame:
     stats = each.distinct().join(known, ["host", "hash"]).groupBy("key").agg(F.collect_list(F.struct("hash", "share", "g", "hosts")).alias("stats"))
     both = cut(found.join(stats, "key", "left").select("page_id", "units", F.coalesce("stats", F.array()).alias("stats")), "recurring")
     ids = both.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(pages)
-    sample = [Page([u.asDict() for u in r.units], [s.asDict() for s in r.stats]) for r in both.join(F.broadcast(ids), "page_id", "left_semi").collect()]
-    rows = [(f, y) for page in sample for f, y in zip(page.features(), page.reliable()) if y is not None]
+    sample = [Page([tuple(u) for u in r.units], [tuple(s) for s in r.stats]) for r in both.join(F.broadcast(ids), "page_id", "left_semi").collect()]
+    rows = [(expand(k), y) for page in sample for k, y in zip(page.keys(), page.reliable()) if y is not None]
     shared = df.sparkSession.sparkContext.broadcast(maxent.fit([f for f, _ in rows], [y for _, y in rows], epochs=3))
 
     def run(batches):
+        costs = costs_of(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, units, stats = (c.to_pylist() for c in part.columns)
-                done = [boilerplate_rows(Page(u, s), shared.value) for u, s in zip(units, stats)]
+            for at in range(0, batch.num_rows, 512):
+                part = pa.RecordBatch.from_arrays([c.take(pa.array(range(at, min(at + 512, batch.num_rows)))) for c in batch.columns], batch.schema.names)
+                ids, units, stats = part.column(0).to_pylist(), _lists(part.column(1)), _lists(part.column(2))
+                done = [boilerplate_rows(Page(u, s), costs) for u, s in zip(units, stats)]
                 yield packed(ids, done, {"field": "smallint", "pos": "int", "item": "int"}, "page_id")
 
     out = both.mapInArrow(run, "page_id bigint, units array<struct<field:smallint,pos:int,item:int>>")
