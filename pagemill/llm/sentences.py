@@ -28,6 +28,7 @@ CLOSERS = "\"'”“’‘»«›‹)]}」』）》】"
 _STOP = re.compile(rf"[{re.escape(STOPS)}]+[{re.escape(CLOSERS)}]*(?:\s[»”]+(?=\s|$))?")
 _THAI = "฀-๿"
 _THAI_GAP = re.compile(rf"(?<=[{_THAI}\w.”“\"»)]) +(?=[{_THAI}“\"«(])")
+_THAI_ANY = re.compile(f"[{_THAI}]")
 _CONTACT = re.compile(r"(?i)(?:^|\s)(?:tel|telefon|telefoon|telefono|teléfono|telefone|tél|tlf|phone|fon|e-?mail|mail|mobil)\b\s*\.?\s*:")
 _MARK = re.compile(rf"[{re.escape(STOPS)}\"'“”„‚‘’«»‹›「」『』()\[\]{{}}（）《》【】]")
 
@@ -97,7 +98,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
     n = len(text.rstrip())
     closed = spans(text) if _MARK.search(text) else []
     out, at = [], 0
-    gaps = [(m.start(), m.end()) for m in _THAI_GAP.finditer(text, 0, n) if _thai(text[m.start() - 1]) or _thai(text[m.end()]) or text[m.end()] in "“\"«("] if any(map(_thai, text)) else []
+    gaps = [(m.start(), m.end()) for m in _THAI_GAP.finditer(text, 0, n) if _thai(text[m.start() - 1]) or _thai(text[m.end()]) or text[m.end()] in "“\"«("] if _THAI_ANY.search(text) else []
     found = [(m.start(), m.end()) for m in _STOP.finditer(text, 0, n)]
     for start, end in found:
         while at < len(closed) and closed[at][1] <= start:
@@ -146,7 +147,7 @@ def _left_key(text: str, end: int) -> str:
     token = (text[max(0, end - 60) : end].split() or [""])[-1]
     core = token.rstrip(CLOSERS)
     word = core.rstrip(STOPS)
-    if any(_cjk(c) or _thai(c) for c in word[-3:]):
+    if not word.isascii() and any(_cjk(c) or _thai(c) for c in word[-3:]):
         return word[-3:] + core[len(word) :][-1:]
     if len(word) == 1 and word.isupper():  # a house's letter or an initial
         word += _holder((text[max(0, end - 60) : end - len(token)].split() or ["-"])[-1])
@@ -196,7 +197,7 @@ def left_features(text: str, end: int, floor: int = 0, history: str = "u") -> li
     stop = core[len(core.rstrip(STOPS)) :]
     word = core.rstrip(STOPS)
     closed = "q" if len(core) < len(token) else ""
-    if any(_cjk(c) or _thai(c) for c in word[-3:]):
+    if not word.isascii() and any(_cjk(c) or _thai(c) for c in word[-3:]):
         return ["L" + word[-2:] + stop, "L3" + word[-4:], "Ls" + stop[-1:] + closed, "Lt" + _kind(word[-1:] or " "), "Lx" + history]
     shape = re.sub(r"[A-ZÀ-ÖØ-ÞА-Я]", "A", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", word))
     shape = re.sub(r"(.)\1{3,}", r"\1\1\1\1", re.sub(r"\d", "9", shape))[:10]
