@@ -172,7 +172,10 @@ def page_keywords(spark, d):
     return _pages(spark, d).select("page_id", pages.extract(F.col("html"), "keywords").alias("keywords"))
 
 
-@query()
+_MARKUP_LIKE = "contains(t, '<') AND contains(t, '>') AND (contains(t, '</') OR contains(t, '/>'))"
+
+
+@query(f"SELECT page_id, CAST(i AS INT) AS pos, CASE WHEN {_MARKUP_LIKE} THEN '' ELSE t END AS block FROM (SELECT page_id, i, regexp_replace(a[i + 1], {TRIM}, '', 'g') AS t FROM (SELECT page_id, regexp_extract_all(html, '(?s)<script type=\"application/ld.json\">(.*?)</script>', 1) AS a FROM {PAGES}), UNNEST(range(len(a))) AS t(i))")
 def page_json_ld(spark, d):
     return _pages(spark, d).select("page_id", F.posexplode(pages.extract(F.col("html"), "json_ld")).alias("pos", "block"))
 
@@ -184,7 +187,12 @@ def headings(spark, d):
     return flat
 
 
-@query()
+def _tidy(expression: str) -> str:
+    """SQL for a text collapsed, without one closing stop or comma."""
+    return f"regexp_replace(regexp_replace(regexp_replace({expression}, '{WS}+', ' ', 'g'), '^ | $', '', 'g'), '[.,]$', '')"
+
+
+@query(f"SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n DESC, i) - 1 AS INT) AS pos, s AS paragraph FROM (SELECT page_id, i, s, 1 + len(regexp_extract_all(s, '[ \t\n\f\r][!-~]')) AS n FROM (SELECT page_id, i, {_tidy(_plain('a[i + 1]'))} AS s FROM (SELECT page_id, regexp_extract_all(html, '<p>([^<]*)</p>', 1) AS a FROM {PAGES}), UNNEST(range(len(a))) AS t(i))) WHERE n > 2 AND NOT contains(lower(s), 'cookie') AND NOT contains(s, '©')")
 def sentences(spark, d):
     s = _pages(spark, d).select("page_id", pages.sentences(F.col("html"), text.country_codes(spark)).alias("s"))
     return s.select("page_id", F.posexplode("s.p").alias("pos", "paragraph"))
