@@ -1,6 +1,6 @@
 """Personal names to their parts by rule: titles, given and middle names, initials, particles, surname, suffixes.
 
-'Surname, Given Middle' and 'Given Middle Surname' are read. A text without a surname and a given name or initial, with digits or with a
+'Surname, Given Middle' and 'Given Middle Surname' are read. A text without a surname and a given name or initial, with numbers or with a
 firm's ending is no name and gives null.
 """
 
@@ -38,7 +38,8 @@ def _case(word: str) -> str:
 
 def parse(name: str) -> dict[str, str] | None:
     text = " ".join(unicodedata.normalize("NFC", re.sub(r"\([^)]*\)|[\"“”]", " ", name)).split())
-    if not text or any(map(str.isdigit, text)) or "@" in text or "/" in text or _FIRM.search(text):
+    misread = lambda w: sum(map(str.isdigit, w)) * 3 <= sum(map(str.isalpha, w))  # noqa: E731 - a digit read for a letter
+    if not text or not all(map(misread, text.split())) or "@" in text or "/" in text or _FIRM.search(text):
         return None
     out: dict[str, str] = {}
     blocks = [b.split() for b in text.split(",") if b.strip()]
