@@ -127,9 +127,12 @@ def segment_join(strings: DataFrame, block: str, text: str, wanted: str | None =
 
     rows = strings.select(F.col(block).alias("block"), F.col(text).alias("t"), (F.col(wanted) if wanted else F.lit(False)).alias("w"))
     # nondeterministic: else the optimiser runs the functions once more in filters that it infers from explode
-    left = rows.select("block", "w", F.col("t").alias("a"), index.asNondeterministic()("t").alias("ks")).select("block", "w", "a", F.explode("ks").alias("k")).select("block", "w", "a", F.xxhash64("block", "k").alias("key"))
-    right = rows.select("block", "w", F.col("t").alias("b"), probe.asNondeterministic()("t").alias("ks")).select("block", "w", "b", F.explode("ks").alias("k")).select(F.col("block").alias("block2"), F.col("w").alias("w2"), "b", F.xxhash64("block", "k").alias("key"))
-    found = left.join(right, "key").where("a != b and block = block2" + (" and w != w2" if wanted else ""))
+    # wanted strings meet only others: w goes into the key, turned on one side
+    w, turned = ("w", F.expr("not w")) if wanted else (F.lit(False), F.lit(False))
+    left = rows.select("block", "w", F.col("t").alias("a"), index.asNondeterministic()("t").alias("ks")).select("block", "w", "a", F.explode("ks").alias("k")).select("block", "w", "a", F.xxhash64("block", "k", w).alias("key"))
+    right = rows.select("block", "w", F.col("t").alias("b"), probe.asNondeterministic()("t").alias("ks")).select("block", "w", "b", F.explode("ks").alias("k")).select(F.col("block").alias("block2"), F.col("w").alias("w2"), "b", F.xxhash64("block", "k", turned).alias("key"))
+    # two edits, exchanges among them, are four of Levenshtein's at most: that leaves few pairs to shuffle and to verify
+    found = left.join(right, "key").where("a != b and block = block2 and levenshtein(a, b, 4) >= 0" + (" and w != w2" if wanted else ""))
     if wanted:
         return found.select("block", F.when(F.col("w"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("w"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
     return found.select("block", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -195,7 +198,8 @@ def _parts(*columns: str):
 
 
 def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([distance(x, y, 2) if max(len(x), len(y)) >= 6 else distance(x, y, 1) for x, y in zip(a, b)])
+    # 3 where more than the allowed edits are needed
+    return pd.Series([d if (d := distance(x, y, k)) <= k else 3 for x, y in zip(a, b) for k in [edits(max(len(x), len(y)))]], dtype="int32")
 
 
 def _distance_udf(a: str, b: str):
@@ -206,16 +210,22 @@ def _places(rows: DataFrame) -> DataFrame:
     """rows with place (the town, or that of the employer) and firm (its commonest spelling there)."""
     firms = cut(rows.where("emp != '' and town != ''").groupBy("emp", "town").agg(F.count(F.lit(1)).alias("n")), "firms")
     best = firms.groupBy("emp").agg(F.max_by("town", F.struct("n", "town")).alias("near"))
-    # employers without a town of their own: the nearest spelling that stands beside a like name elsewhere
-    rows = rows.withColumn("like", F.concat(F.substring("s", 1, 3), F.coalesce("i", F.lit(""))))
-    lost = rows.where("town = '' and emp != ''").select("like", "emp").distinct().join(best, "emp", "left_anti")
-    beside = rows.where("emp != ''").select("like", "emp").distinct().join(best.select("emp"), "emp", "left_semi").join(lost.select("like").distinct(), "like", "left_semi")
-    pool = lost.select("like", "emp").withColumn("lost", F.lit(True)).unionByName(beside.select("like", "emp").withColumn("lost", F.lit(False)))
-    pairs = segment_join(pool, "like", "emp", "lost")
-    close = pairs.withColumn("d", _distance_udf("a", "b")).where("d <= 2").select("a", "b", "d").distinct().join(best.select(F.col("emp").alias("b"), "near"), "b")
-    found = close.groupBy("a").agg(F.min_by("near", F.struct("d", "b")).alias("near")).select(F.col("a").alias("emp"), "near")
-    towns = best.unionByName(found)
-    placed = rows.join(towns, "emp", "left").withColumn("place", F.when(F.col("town") != "", F.col("town")).otherwise(F.coalesce("near", F.concat(F.lit("@"), F.col("emp"))))).drop("near", "like")
+    # employers without a town of their own: the nearest spelling of all that have one, of equally near ones that beside the likest name
+    lost = rows.where("town = '' and emp != ''").select("emp").distinct().join(best, "emp", "left_anti")
+    pool = lost.withColumn("lost", F.lit(True)).unionByName(best.select("emp", F.lit(False).alias("lost"))).withColumn("all", F.lit(""))
+    close = cut(segment_join(pool, "all", "emp", "lost").withColumn("d", _distance_udf("a", "b")).where("d <= 2").select("a", "b", "d"), "known")
+    nearest = close.join(close.groupBy("a").agg(F.min("d").alias("d")), ["a", "d"]).select("a", "b")
+    first = nearest.groupBy("a").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n"))
+    tied = nearest.join(first.where("n > 1").select("a"), "a", "left_semi")
+    named = rows.where("emp != ''").select("emp", "s", "g").distinct()
+    mine, theirs = named.withColumnsRenamed({"emp": "a", "s": "s1", "g": "g1"}), named.withColumnsRenamed({"emp": "b", "s": "s2", "g": "g2"})
+    scored = mine.join(tied, "a").join(theirs, "b").withColumn("far", F.struct(F.levenshtein("s1", "s2").alias("s"), F.levenshtein("g1", "g2").alias("g")))
+    likest = scored.groupBy(F.col("a").alias("emp"), F.col("s1").alias("s"), F.col("g1").alias("g")).agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+    near = best.withColumnRenamed("emp", "b")
+    found = first.where("n = 1").select(F.col("a").alias("emp"), "b").join(near, "b").select("emp", "near")
+    by_name = likest.join(near, "b").select("emp", "s", "g", F.col("near").alias("near2"))
+    placed = rows.join(best.unionByName(found), "emp", "left").join(by_name, ["emp", "s", "g"], "left")
+    placed = placed.withColumn("place", F.when(F.col("town") != "", F.col("town")).otherwise(F.coalesce("near", "near2", F.concat(F.lit("@"), F.col("emp"))))).drop("near", "near2")
     placed = cut(placed, "placed")
     spelt = cut(placed.where("emp != ''").groupBy("place", "emp").agg(F.count(F.lit(1)).alias("n")), "spelt")
     close = cut(segment_join(spelt, "place", "emp").withColumn("d", _distance_udf("a", "b")).where("d <= 2"), "close")

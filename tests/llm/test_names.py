@@ -67,3 +67,18 @@ def test_entities(spark):
     assert same <= got and not any(x in (5, 7, 9, 10) for p in got for x in p)
     assert {r.name_id for r in found.collect()} == {1, 2, 3, 4, 5, 6, 8, 9, 10, 11, *range(100, 106)}
     assert entities(df.limit(0)).count() == 0
+
+
+def test_employers_without_a_town_are_sought_among_all(spark):
+    one = lambda i, g, s, e, t: (i, f"{g or 'G.'} {s}", g, None, None, s, None, e, t, None)
+    rows = [
+        # a nickname and another initial, a surname misspelt in its first letters: no row of the employer begins alike
+        one(1, "Elizabeth", "Bergmann", "Komikite A/S", "Derotaton"), one(2, "Liz", "Bergmann", "Komikkite", None),
+        one(3, "Theodora", "Holmvad", "Sadubake", "Elsewhere"), one(4, "Theodora", "Hlomvad", "Sadubkae", None),
+        # equally near to two employers: the one beside the likest name
+        one(5, "Anders", "Kvistgaard", "Ronefati", "Aby"), one(6, "Susanne", "Lindholm", "Ronefato", "Bby"), one(7, "Susanne", "Lnidholm", "Ronefat", None), one(8, "Anders", "Kvistgard", "Ronefat", None),
+        # short names allow one edit
+        one(9, "Maria", "Dalsgaard", "Fibo", "Cby"), one(10, "Maria", "Dalsgaard", "Figa", None),
+    ]
+    got = {(r.name_id_a, r.name_id_b) for r in pairs(entities(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert got == {(1, 2), (3, 4), (5, 8), (6, 7)}
