@@ -1,6 +1,7 @@
 """Variant spellings of names: a pigeonhole segment join finds candidates, banded edit distance and name rules verify them.
 
-A string within k edits of another shares one of the other's k+1 segments, shifted by k at most. Segments of surnames, keyed by
+A string within k edits of another shares one of the other's k+1 segments, as it is or with an exchange over its border, shifted by
+k at most. Segments of surnames, keyed by
 place, are looked up in an inverted index; the pairs found are verified: surname by edit distance, given name by spelling,
 nickname or initial, and middle name, suffix and employer must not contradict. Employers and places are settled first, with the
 same join. Sure links form components; spellings that leave something open (an initial, no employer) join a component if just
@@ -80,6 +81,11 @@ def edits(length: int) -> int:
     return 0 if length < 3 else 1 if length < 6 else 2
 
 
+def allowed(length: int) -> int:
+    """Edits within which two strings are compared, by the longer's length: two from five letters on, since a folded letter may be two (æ, x)."""
+    return 0 if length < 3 else 1 if length < 5 else 2
+
+
 def segments(n: int, k: int) -> list[tuple[int, int]]:
     """k + 1 segments of a length as (start, length), nearly equal."""
     base, more = divmod(n, k + 1)
@@ -91,22 +97,31 @@ def segments(n: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def index_keys(text: str) -> list[tuple[int, int, str]]:
-    """(length, segment, characters) under which a string is found."""
-    k = edits(len(text))
-    return [(len(text), i, text[a : a + size]) for i, (a, size) in enumerate(segments(len(text), k))]
+def index_keys(text: str) -> list[tuple[int, int, int, str]]:
+    """(length, edits, segment, characters) under which a string is found by strings of its length or longer, for each number of edits that
+    these allow. An exchange over a border is counted to the segment after it; so every segment is also given with its last character exchanged
+    for the first of the next."""
+    n, out = len(text), set()
+    for k in {allowed(m) for m in range(n, n + 3) if m - n <= allowed(m)}:
+        for i, (a, size) in enumerate(segments(n, k)):
+            out.add((n, k, i, text[a : a + size]))
+            if size and i < k:
+                out.add((n, k, i, text[a : a + size - 1] + text[a + size]))
+    return sorted(out)
+
 
+def probe_keys(text: str) -> list[tuple[int, int, int, str]]:
+    """The keys of all strings of the same or smaller length that may be within the allowed edits; segments may have shifted.
 
-def probe_keys(text: str) -> list[tuple[int, int, str]]:
-    """The keys of all strings of the same or smaller length that may be within their allowed edits; segments may have shifted."""
+    With k edits and k + 1 segments, some untouched segment i has just i edits before it and k - i at most after it (the first one up to which
+    the edits aren't more than the segments before it). That bounds its shift from both ends.
+    """
     n, out = len(text), set()
-    for length in range(max(1, n - edits(n)), n + 1):
-        k = max(edits(length), edits(n))
-        if n - length > k:
-            continue
-        for i, (a, size) in enumerate(segments(length, edits(length))):
-            for start in range(max(0, a - k), min(n - size, a + k) + 1):
-                out.add((length, i, text[start : start + size]))
+    k = allowed(n)
+    for length in range(max(1, n - k), n + 1):
+        for i, (a, size) in enumerate(segments(length, k)):
+            for start in range(max(0, a + max(-i, n - length - k + i)), min(n - size, a + min(i, n - length + k - i)) + 1):
+                out.add((length, k, i, text[start : start + size]))
     return sorted(out)
 
 
@@ -119,11 +134,11 @@ def segment_join(strings: DataFrame, block: str, text: str, wanted: str | None =
 
     @F.pandas_udf("array<string>")
     def index(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [f"{n}.{i}.{s}" for n, i, s in index_keys(t)])
+        return texts.map(lambda t: [f"{n}.{k}.{i}.{s}" for n, k, i, s in index_keys(t)])
 
     @F.pandas_udf("array<string>")
     def probe(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [f"{n}.{i}.{s}" for n, i, s in probe_keys(t)])
+        return texts.map(lambda t: [f"{n}.{k}.{i}.{s}" for n, k, i, s in probe_keys(t)])
 
     rows = strings.select(F.col(block).alias("block"), F.col(text).alias("t"), (F.col(wanted) if wanted else F.lit(False)).alias("w"))
     # nondeterministic: else the optimiser runs the functions once more in filters that it infers from explode
@@ -199,7 +214,7 @@ def _parts(*columns: str):
 
 def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
     # 3 where more than the allowed edits are needed
-    return pd.Series([d if (d := distance(x, y, k)) <= k else 3 for x, y in zip(a, b) for k in [edits(max(len(x), len(y)))]], dtype="int32")
+    return pd.Series([d if (d := distance(x, y, k)) <= k else 3 for x, y in zip(a, b) for k in [allowed(max(len(x), len(y)))]], dtype="int32")
 
 
 def _distance_udf(a: str, b: str):

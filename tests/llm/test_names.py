@@ -5,7 +5,7 @@ import string
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagemill.llm.names import components, distance, edits, employer_key, entities, fold, given_fits, index_keys, pairs, probe_keys
+from pagemill.llm.names import allowed, components, distance, edits, employer_key, entities, fold, given_fits, index_keys, pairs, probe_keys
 
 
 def osa(a, b):
@@ -37,6 +37,27 @@ def test_segments_find_every_pair_within_the_edits():
             assert set(index_keys(short)) & set(probe_keys(long_))
 
 
+def test_segments_find_exchanges_over_their_borders():
+    meet = lambda a, b: bool(set(index_keys(min(a, b, key=len))) & set(probe_keys(max(a, b, key=len))))
+    assert meet("holm", "hlom") and meet("hlom", "holm") and meet("holms", "hloms") and meet("abc", "bac") and meet("holme", "hlomeb")
+    words = ["".join(w) for n in range(1, 8) for w in itertools.product("ab", repeat=n)]
+    r = random.Random(5)
+    words += ["".join(r.choice("abcd") for _ in range(n)) for n in (3, 4, 5, 6, 7, 8, 9) for _ in range(30)]
+    for _ in range(3000):  # edits of all kinds, exchanges not among the letters of another
+        b = list(r.choice(words[-210:]))
+        words.append("".join(b))
+        for _ in range(2):
+            x = r.randrange(len(b))
+            r.choice([lambda: len(b) > 1 and b.pop(x), lambda: b.insert(x, r.choice("abcd")), lambda: b.__setitem__(x, r.choice("abcd")), lambda: b.__setitem__(slice(x, x + 2), b[x : x + 2][::-1])])()
+        words.append("".join(b))
+    tries = list(itertools.combinations(sorted(set(words[:254])), 2)) + list(zip(words[464::2], words[465::2]))
+    for a, b in tries:
+        k = allowed(max(len(a), len(b)))
+        if a != b and distance(a, b, k) <= k:
+            for x, y in ((a, b), (b, a)) if len(a) == len(b) else (sorted((a, b), key=len),):
+                assert set(index_keys(x)) & set(probe_keys(y)), (x, y)
+
+
 def test_folding():
     assert fold("Zacharyas") == fold("ZACHARIAS") and fold("Käthe") == fold("Kathe") and fold("H0lmvad") == fold("holmvad") and fold(None) == ""
     assert employer_key("Komikite A/S") == employer_key("KOMIKITE") == employer_key("Komikite AS") and employer_key("Foo & Co.") == "foo"
@@ -82,3 +103,9 @@ def test_employers_without_a_town_are_sought_among_all(spark):
     ]
     got = {(r.name_id_a, r.name_id_b) for r in pairs(entities(spark.createDataFrame(rows, SCHEMA))).collect()}
     assert got == {(1, 2), (3, 4), (5, 8), (6, 7)}
+
+
+def test_letters_folded_into_two_are_found(spark):
+    one = lambda i, s: (i, f"Kristian {s}", "Kristian", None, None, s, None, "Ferekime", "Nomariham", None)
+    got = {(r.name_id_a, r.name_id_b) for r in pairs(entities(spark.createDataFrame([one(1, "Ubbæk"), one(2, "Ubbkæ"), one(3, "Ubbnk"), one(4, "Holm")], SCHEMA))).collect()}
+    assert {(1, 2), (1, 3)} <= got and not any(4 in x for x in got)
