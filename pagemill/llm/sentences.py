@@ -4,22 +4,26 @@ Candidates stand after closing punctuation (with its marks and brackets) and, in
 or bracket aren't candidates. Reliable for training: an element's end together with another element's start (boundary), a
 full stop before a small letter and places inside a sentence (none). Each example is also given with only its left and only
 its right features, so that the model learns abbreviations and sentence openers separately. A token's own history is a feature
-too: whether it ends (opens) elements of the sample at all, or stands only before (after) candidates.
+too: whether it ends (opens) elements of the sample at all, or stands only before (after) candidates. Where only a known opener can
+begin a unit, the openers of all pages count: elements that ask for one are held back and joined to them by token.
 """
 
 from __future__ import annotations
 
+import os
 import random
 import re
 import unicodedata
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import maxent
 from pagemill.llm.pages import Memo, elements, field_name, sample_pages
-from pagemill.packing import map_units, unpack
+from pagemill.packing import map_units, once, unpack
+from pagemill.sources.tables import cut
 
 STOPS = ".!?…。！？؟۔।｡"
 WIDE = "。！？｡"
@@ -233,11 +237,20 @@ def _both(left: list[str], right: list[str]) -> list[str]:
     return [*left, *right, "B" + next(x for x in left if x[:2] == "Ls") + right[min(1, len(right) - 1)], "X" + "".join(x for x in (*left, *right) if x[:2] in ("Lx", "Rx"))]
 
 
+def _prose(text: str) -> bool:
+    return len(text) >= 25 and not _CONTACT.search(text) and "©" not in text
+
+
+def opener(text: str) -> str:
+    """The token that an element of running text opens with, of others ''."""
+    return _right_key(t, 0) if _prose(t := text.strip()) else ""
+
+
 def examples(texts: list[str], seed: int = 11) -> tuple[list[list[str]], list[float], dict[str, float]]:
     """Reliable boundaries and non-boundaries of the given elements as features and labels; the histories of their tokens."""
     rng = random.Random(seed)
     rows, labels = [], []
-    prose = [t for t in dict.fromkeys(x.strip() for x in texts) if 25 <= len(t) <= 4000 and not _CONTACT.search(t) and "©" not in t]
+    prose = [t for t in dict.fromkeys(x.strip() for x in texts) if len(t) <= 4000 and _prose(t)]
     ends, before, opens, after, inside = histories(prose)
 
     def left(text, end, own=0):  # an example doesn't count for its own history
@@ -289,8 +302,11 @@ def examples(texts: list[str], seed: int = 11) -> tuple[list[list[str]], list[fl
     return rows, labels, known | {"#R" + k: 1.0 if opens[k] else -1.0 for k in {*opens, *after} if opens[k] or after[k] >= 2}
 
 
-def split(text: str, model: dict[str, float]) -> list[int]:
-    """Ends of the sentence units of an element. Blank text has none; a contact or rights line is one unit."""
+def split(text: str, model: dict[str, float], opened: set[str] | tuple = (), asked: set[str] | None = None) -> list[int]:
+    """Ends of the sentence units of an element. Blank text has none; a contact or rights line is one unit.
+
+    opened: tokens known to open elements, besides those of the model; asked takes up those that it would help to know of.
+    """
     n = len(text.rstrip())
     if not n:
         return []
@@ -300,16 +316,23 @@ def split(text: str, model: dict[str, float]) -> list[int]:
     out, floor = [], 0
     for end, start in marks:
         left = left_features(text, end, floor, _STATE[model.get("#L" + _left_key(text, end), 0.0)])
-        right = right_features(text, start, _STATE[model.get("#R" + _right_key(text, start), 0.0)])
+        key = _right_key(text, start)
+        right = right_features(text, start, _STATE[model.get("#R" + key, 0.0)])
         sure = any(x[:3] == "Rxe" for x in right)
         if not sure and (end == start and not _cjk(text[end]) and not _cjk(text[end - 1]) or _thai(text[start]) and text[end - 1].isalnum() and not _thai(text[end - 1]) or text[:end].endswith(("...", "…", *"\"'”“’»«」』")) and _kind(text[start]) in ("x", "th", "cjk")):
-            continue  # only a known opener stands there
+            if asked is not None and key:
+                asked.add(key)
+            if key not in opened:
+                continue  # only a known opener stands there
+            right = right_features(text, start, "e")
         if maxent.score(model, _both(left, right)) > 0:
             out.append(end)
             floor = start
     return [*out, n]
 
 
+#: The field code of rows that tell an opener.
+_OPENER = -1
 _STATE = {1.0: "e", -1.0: "n", 0.0: "u"}
 _LABELLED = re.compile(r"(?i)(?:e-?mail|mail|correo|courriel|почта)\s*\.?\s*:\s*\S+$")
 
@@ -329,9 +352,40 @@ def sentence_units(df: DataFrame, model: dict[str, float] | None = None) -> Data
     model = fit_boundaries(df) if model is None else model
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
-    def make():
-        units = Memo(lambda text: split(text, shared.value))
-        return lambda p, nodes: [(f, i, k, e) for f, i, k, text in elements(p, nodes) for e in units[text]]
+    def judge(text):
+        return split(text, shared.value, (), asked := set()), sorted(asked), opener(text)
 
-    rows = map_units(df.select("page_id", "p", "text_nodes"), "page_id", {"field": "smallint", "pos": "int", "item": "int", "end_pos": "int"}, make)
+    def make():
+        units, seen = Memo(judge), set()
+
+        def run(p, nodes):
+            out, uid = [], int.from_bytes(os.urandom(8)) >> 1
+            for f, i, k, text in elements(p, nodes):
+                ends, asked, first = units[text]
+                if first and first not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()  # some tokens are told once more
+                    seen.add(first)
+                    out.append((_OPENER, 0, 0, 0, None, None, first))
+                out += [(f, i, k, 0, uid, text, key) for key in asked] or [(f, i, k, e, None, None, None) for e in ends]
+            return out
+
+        return run
+
+    kinds = {"field": "smallint", "pos": "int", "item": "int", "end_pos": "int", "uid": "bigint", "text": "string", "key": "string"}
+    rows = cut(map_units(df.select("page_id", "p", "text_nodes"), "page_id", kinds, make), "units")
+    opened = rows.select(F.inline("units")).where(F.col("field") == _OPENER).select("key").distinct().withColumn("known", F.lit(True))
+    unit = lambda x: F.struct(x["field"].alias("field"), x["pos"].alias("pos"), x["item"].alias("item"), x["end_pos"].alias("end_pos"))
+    settled = F.transform(F.filter("units", lambda x: (x["field"] != _OPENER) & x["uid"].isNull()), unit)
+    held = rows.where(F.exists("units", lambda x: x["uid"].isNotNull()))
+    asked = held.select("page_id", F.inline("units")).where("uid is not null").join(opened, "key", "left")
+    asked = asked.groupBy("page_id", "uid", "field", "pos", "item", "text").agg(F.collect_set(F.when(F.col("known"), F.col("key"))).alias("keys"))
+
+    def ends(texts, keys):
+        return pa.array([split(x, shared.value, set(ks)) for x, ks in zip(texts.to_pylist(), keys.to_pylist())], pa.list_(pa.int32()))
+
+    late = asked.select("page_id", "uid", "field", "pos", "item", F.explode(once(ends, "array<int>")("text", "keys")).alias("end_pos"))
+    early = held.select("page_id", F.array_max(F.transform("units", lambda x: x["uid"])).alias("uid"), F.explode(settled).alias("x")).select("page_id", "uid", "x.*")
+    pages = early.unionByName(late).groupBy("page_id", "uid").agg(F.sort_array(F.collect_set(F.struct("field", "pos", "item", "end_pos"))).alias("units"))
+    rows = rows.where(~F.exists("units", lambda x: x["uid"].isNotNull())).select("page_id", settled.alias("units")).unionByName(pages.select("page_id", "units"))
     return unpack(rows, "page_id").withColumn("field", field_name())

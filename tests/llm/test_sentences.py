@@ -40,3 +40,13 @@ def test_frame(spark):
     got = sorted(map(tuple, sentence_units(df, model()).collect()))
     assert got == [(1, "p", 0, 0, 18), (1, "p", 0, 0, 47), (1, "text_nodes", 0, 0, 4)]
     assert sentence_units(df.limit(0)).count() == 0
+
+
+def test_openers_of_all_pages_count(spark):
+    # no page of the model's sample opens with Velkro; one page does here, none with Zanzi
+    text = "The driver paints the blue door.%s sells it at the weekend."
+    rows = [(1, [text % "Velkro"], None), (1, [text % "Velkro"], None), (2, [text % "Zanzi"], [["Menu"]]), (3, ["Velkro sells the old ladders at the bakery."], None), (None, [text % "Velkro"], None), (None, [text % "Velkro", "Menu"], None)]
+    df = spark.createDataFrame(rows, "page_id bigint, p array<string>, text_nodes array<array<string>>")
+    got = sorted(((r.page_id or 0, r.field, r.end_pos) for r in sentence_units(df, model()).collect()))
+    both = [(32,), (len(text % "Velkro"),)]
+    assert got == sorted([(1, "p", e) for e, in both] + [(2, "p", len(text % "Zanzi")), (2, "text_nodes", 4), (3, "p", 43)] + [(0, "p", e) for e, in both * 2] + [(0, "p", 4)])
