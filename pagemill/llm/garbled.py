@@ -140,10 +140,11 @@ def steps(text: str, model: Model) -> dict[str, str]:
     letters = [c for c in text if c.isalpha()]
     high, escapes = sum(c > "\x7f" for c in letters), model.escapes(text)
     whole = high >= 3 and high * 2 > len(letters)  # a text of another script
-    if whole or escapes or _ODD.search(text):
+    odd = len(_ODD.findall(text))
+    if whole or escapes or odd:
         made = [(text.translate(_crossing(*pair)), pair) for pair in CROSSED] + [(_wide(text, *pair), pair) for pair in WIDE]
         for new, (wrong, right) in made:
-            if new == text or len(_MIXED.findall(new)) > len(_MIXED.findall(text)) or not (whole and _script_letters(text, new) or escapes and model.escapes(new) < escapes):
+            if new == text or len(_MIXED.findall(new)) > len(_MIXED.findall(text)) or not (odd or whole and _script_letters(text, new) or escapes and model.escapes(new) < escapes):
                 continue
             out.setdefault(new, f"{wrong}>{right}")
     return out
@@ -160,7 +161,8 @@ def _script_letters(old: str, new: str) -> bool:
 
 #: Latin letters of ASCII beside letters of another script.
 _MIXED = re.compile(r"[A-Za-z][Ͱ-๿]|[Ͱ-๿][A-Za-z]|[Ͱ-Ͽ؀-ۿ][Ѐ-ӿ]|[Ѐ-ӿ][Ͱ-Ͽ؀-ۿ]")
-_ODD = re.compile(r"[^\W\d_][^\w\s\x00-\x7f’‘'`´·​-‍­‐-—][^\W\d_]")
+#: A mark between letters, or one that only opens behind a letter.
+_ODD = re.compile(r"[^\W\d_][^\w\s\x00-\x7f’‘'`´·​-‍­‐-—][^\W\d_]|[^\W\d_][‚„ˆ](?=[\s.,;:!?]|$)")
 
 
 def restore_segment(text: str, model: Model) -> tuple[str, tuple[str, ...]]:

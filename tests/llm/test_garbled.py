@@ -32,6 +32,16 @@ def test_crossed_partial_double_and_lost():
     assert restore("b�rn", MODEL) == ("b�rn", (), True)
 
 
+def test_letters_read_as_common_marks():
+    german = Model(CLEAN | {"de": ["Im März ist das Café schön und das Gärtchen größer als der schöne Hof. Der Käufer möchte im März ins Café."] * 3}, Counter("øåæéïäöüß" * 2), 12)
+    german.segment = Memo(lambda t: restore_segment(t, german))
+    for text in ("Im März ist das Café schön und", "Der Käufer möchte im März ins Café."):
+        for right in ("cp437", "cp850"):
+            bad = text.encode(right).decode("cp1252")
+            assert restore(bad, german)[0] == text, bad
+        assert restore(text, german) == (text, (), False)
+
+
 def test_no_cases():
     for text in ("", "plain &eacute; text", "NÃO É ISSO", "«Портовая контора»", "„Садовник“ …", "S. Ångström på Österåen", "3½ at 20 °C"):
         assert restore(text, MODEL) == (text, (), False), text
