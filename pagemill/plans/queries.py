@@ -36,19 +36,56 @@ _OBJECTS = r"""WITH b AS (SELECT DISTINCT page_id, CAST(i AS INT) AS block, json
  GROUP BY ALL"""
 
 
+def _records(spark, d):
+    return flatten_records(spread(table(spark, d, "sentences", "page_id", "json_ld")), "page_id", "json_ld")
+
+
 @query(_OBJECTS)
 def p3_found(spark, d):
-    rows = flatten_records(spread(table(spark, d, "sentences", "page_id", "json_ld")), "page_id", "json_ld", payloads=False)
-    return rows.select("page_id", "block", "path", "parent_path")
+    return _records(spark, d).where("object").select("page_id", "block", "path", "parent_path").distinct()
+
+
+_ROWS = _OBJECTS[: _OBJECTS.index(" o AS (")] + r""" n AS (SELECT v.page_id, v.block, t.* FROM v, json_tree(v.j) AS t),
+ m AS (SELECT *, type IN ('OBJECT', 'ARRAY') AS box FROM n),
+ holds AS (SELECT DISTINCT a.page_id, a.block, a.id FROM m AS a JOIN m AS b ON a.page_id = b.page_id AND a.block = b.block AND b.type = 'OBJECT' AND (a.id = b.id OR starts_with(b.fullkey, a.fullkey || '.') OR starts_with(b.fullkey, a.fullkey || '['))),
+ k AS (SELECT m.*, u.type AS above FROM m LEFT JOIN m AS u ON m.page_id = u.page_id AND m.block = u.block AND m.parent = u.id),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id, block ORDER BY id) - 1 AS INT) AS node FROM k WHERE type = 'OBJECT' OR (NOT box AND coalesce(above, '') != 'OBJECT')),
+ up AS (SELECT r.page_id, r.block, r.id, max(o.id) AS pid FROM r JOIN r AS o ON r.page_id = o.page_id AND r.block = o.block AND o.type = 'OBJECT' AND (starts_with(r.fullkey, o.fullkey || '.') OR starts_with(r.fullkey, o.fullkey || '[')) GROUP BY ALL),
+ flat AS (SELECT k.page_id, k.block, k.parent AS id, '{' || string_agg(to_json(k.key) || ':' || k.value, ',' ORDER BY k.id) || '}' AS payload FROM k ANTI JOIN holds ON k.page_id = holds.page_id AND k.block = holds.block AND k.id = holds.id WHERE k.above = 'OBJECT' GROUP BY ALL),
+ named AS (SELECT page_id, block, parent AS id, max(CASE WHEN type = 'ARRAY' THEN value->>0 WHEN type = 'VARCHAR' THEN value->>'$' END) AS kind FROM k WHERE key = '@type' AND above = 'OBJECT' GROUP BY ALL),
+ full_ AS (SELECT r.*, up.pid, o.fullkey AS pkey, o.node AS pnode, coalesce(nullif(d.kind, ''), CASE WHEN up.pid IS NULL THEN 'root' ELSE regexp_extract(r.fullkey, '\."?([^."\[]*)"?(?:\[[0-9]+\])*$', 1) END) AS own, coalesce(nullif(pd.kind, ''), CASE WHEN o.id IS NULL OR NOT contains(o.fullkey, '.') THEN 'root' ELSE regexp_extract(o.fullkey, '\."?([^."\[]*)"?(?:\[[0-9]+\])*$', 1) END) AS ptag
+  FROM r LEFT JOIN up ON r.page_id = up.page_id AND r.block = up.block AND r.id = up.id LEFT JOIN r AS o ON o.page_id = up.page_id AND o.block = up.block AND o.id = up.pid
+  LEFT JOIN named AS d ON d.page_id = r.page_id AND d.block = r.block AND d.id = r.id LEFT JOIN named AS pd ON pd.page_id = r.page_id AND pd.block = r.block AND pd.id = up.pid)
+ SELECT DISTINCT f.page_id, f.block, f.node, coalesce(f.pnode, -1) AS parent, CASE WHEN type = 'OBJECT' THEN own WHEN pid IS NULL THEN 'root' ELSE ptag || '.' || own END AS tag,
+ regexp_replace(f.fullkey, '\."([^"]*)"', '.\1', 'g') AS path, coalesce(regexp_replace(f.pkey, '\."([^"]*)"', '.\1', 'g'), '') AS parent_path, coalesce(TRY_CAST(regexp_extract(f.fullkey, '\[([0-9]+)\]$', 1) AS INT), -1) AS place, type = 'OBJECT' AS object, CASE WHEN type = 'OBJECT' THEN coalesce(flat.payload, '{}') ELSE '{"value":' || f.value || '}' END AS payload
+ FROM full_ AS f LEFT JOIN flat ON flat.page_id = f.page_id AND flat.block = f.block AND flat.id = f.id"""
+
+
+@query(_ROWS)
+def p3_tables(spark, d):
+    """Every object and array member with its table tag, keys (-1 for none) and members without objects."""
+    return _records(spark, d).na.fill(-1, ["parent", "place"])
 
 
-@query()
-def p3_tables(spark, d):
-    """Every object with its table tag, keys and scalar members."""
-    return flatten_records(spread(table(spark, d, "sentences", "page_id", "json_ld")), "page_id", "json_ld")
+#: Every unquoted delimiter taken to split, which the lattice must find out by itself on these tables.
+_D = r"[,;|·•‣\t\n\r\v\f\x{85}\x{2028}\x{2029}，、；،؛]"
+_AFTER = rf"\s*(?:{_D}|$|\s/\s)"
+_QUOTES = r"""(?:"(?:[^"]|"")*"|'(?:[^']|''|'[^'\s,;|·•‣，、；،؛])*'|“[^”]*”|«[^»]*»|„[^“”]*[“”]|‘[^’]*’)"""
+_TOKENS = rf"\s*{_QUOTES}{_AFTER}|(?:[^,;|·•‣\t\n\r\v\f\x{{85}}\x{{2028}}\x{{2029}}，、；،؛/ ]|\S/\S| +[^,;|·•‣\t\n\r\v\f\x{{85}}\x{{2028}}\x{{2029}}，、；،؛/ ]|/)+|{_D}|\s+/\s+|\s+".replace("'", "''")
 
 
-@query()
+def _packed_sql() -> str:
+    open_ = rf"^\s*{_QUOTES}{_AFTER}$".replace("'", "''")
+    bare = rf"^(?:{_D}|\s+/\s+|\s+)*$"
+    inner = rf"regexp_replace(regexp_replace(t, '(?:{_D}|\s+/\s*)+$', ''), '^\s+|\s+$', '', 'g')"
+    core = f"CASE WHEN regexp_matches(t, '{open_}') THEN trim(replace(substr({inner}, 2, length({inner}) - 2), repeat(left({inner}, 1), 2), left({inner}, 1))) ELSE regexp_replace(t, '^\\s+|\\s+$', '', 'g') END"
+    field = "regexp_replace(keywords, '^[\\s,;|]*\\[([^\\[]*)\\][\\s,;|]*$', '\\1')"
+    return f"""WITH f AS (SELECT DISTINCT page_id, {field} AS k FROM sentences WHERE keywords IS NOT NULL), t AS (SELECT page_id, k, regexp_extract_all(k, '{_TOKENS}') AS a FROM f),
+ u AS (SELECT page_id, k, i, a[i] AS t FROM t, UNNEST(range(1, len(a) + 1)) AS x(i)), v AS (SELECT page_id, k, i, {core} AS keyword FROM u WHERE NOT regexp_matches(t, '{bare}'))
+ SELECT DISTINCT page_id, CAST(row_number() OVER (PARTITION BY page_id, k ORDER BY i) - 1 AS INT) AS pos, keyword FROM v WHERE keyword != ''"""
+
+
+@query(_packed_sql())
 def p7_found(spark, d):
     return split_packed(spread(table(spark, d, "sentences", "page_id", "keywords")), "page_id", "keywords").withColumnRenamed("value", "keyword")
 
