@@ -163,14 +163,18 @@ def longest_literal(pattern: str) -> str:
     return best
 
 
+#: A word boundary, not behind an escaped backslash.
+_BOUNDARY = re.compile(r"(?<!\\)(?:\\\\)*\\[bB]")
+
+
 class Rules:
     """A compiled rule base.
 
     text: by key (name, pattern); dicts: by key and lower-cased name (technology, value pattern or None); implies: the closure;
-    skipped: rules whose pattern can't be compiled. strict drops text rules with word boundaries, which a lazy automaton can't hold.
+    skipped: rules whose pattern can't be compiled. strict skips text rules with word boundaries too, which a lazy automaton can't hold.
     """
 
-    def __init__(self, data: str | bytes, chunk_size: int = 28, strict: bool = False):
+    def __init__(self, data: str | bytes, chunk_size: int = 28, strict: bool = True):
         try:
             root = json.loads(data)
         except ValueError as e:
@@ -195,7 +199,11 @@ class Rules:
         if isinstance(app.get("js"), dict):
             found += [("js", js_pattern(k, v if isinstance(v, str) else "")) for k, v in app["js"].items()]
         for key, pattern in found:
-            if pattern is not None and self._compiles(name, pattern, key != "js") and not (self.strict and r"\b" in pattern):
+            if pattern is None:
+                continue
+            if self.strict and _BOUNDARY.search(pattern):
+                self.skipped.append(f"{name}: {pattern}")
+            elif self._compiles(name, pattern, key != "js"):
                 self.text[key].append((name, pattern))
         for key in DICT_KEYS:
             for field, value in (app[key].items() if isinstance(app.get(key), dict) else ()):
@@ -229,14 +237,45 @@ class Rules:
         return sorted({x for n in names for x in self.closure.get(n, [n])})
 
 
+def _automaton(literals: list[str]):
+    """Finds the places of all literals in one pass over a text; None where the library is missing."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return None
+    places: dict[str, list[int]] = defaultdict(list)
+    for i, x in enumerate(literals):
+        if x:
+            places[x].append(i)
+    out = ahocorasick.Automaton()
+    for x, own in places.items():
+        out.add_word(x, own)
+    if places:
+        out.make_automaton()
+    return out
+
+
 class Matcher:
-    """The rules made ready in a worker."""
+    """The rules made ready in a worker. One pass of an automaton tells which rules' literals a part holds; only these are searched."""
 
     def __init__(self, rules: Rules):
         self.rules = rules
         self.text = {k: [(n, longest_literal(_python(p)).lower() if k != "js" else longest_literal(_python(p)), regex.compile(_python(p), regex.I if k != "js" else 0)) for n, p in v] for k, v in rules.text.items()}
+        self.automata = {k: _automaton([x for _, x, _ in v]) for k, v in self.text.items()}
+        self.free = {k: [i for i, (_, x, _) in enumerate(v) if not x] for k, v in self.text.items()}
         self.dicts = {k: {f: [(n, p and regex.compile(_python(p), regex.I)) for n, p in v] for f, v in by.items()} for k, by in rules.dicts.items()}
 
+    def _likely(self, key: str, part: str) -> list[int]:
+        """The rules that may match a part: those whose literal it holds and those without one."""
+        held = part.lower() if key != "js" else part
+        if len(held) != len(part):
+            return list(range(len(self.text[key])))
+        automaton = self.automata[key]
+        if automaton is None:
+            return [i for i, (_, x, _) in enumerate(self.text[key]) if x in held]
+        hits = {i for _, own in automaton.iter(held) for i in own} if len(automaton) else set()
+        return sorted(hits.union(self.free[key]))
+
     def texts(self, key: str, parts) -> set[str]:
         found: set[str] = set()
         for part in parts or ():
@@ -247,10 +286,9 @@ class Matcher:
                     continue
             if part is None:
                 continue
-            held = part.lower() if key != "js" else part
-            folds = len(held) == len(part)
-            for name, literal, pattern in self.text[key]:
-                if name not in found and (not literal or literal in held or not folds):
+            for i in self._likely(key, part):
+                name, _, pattern = self.text[key][i]
+                if name not in found:
                     try:
                         if pattern.search(part, timeout=5):
                             found.add(name)
@@ -262,10 +300,18 @@ class Matcher:
         out = []
         for k, v in dict(entries or {}).items():
             if isinstance(k, str) and isinstance(v, str):
-                out += [n for n, p in self.dicts[key].get(k.lower(), ()) if p is None or p.search(v, timeout=5)]
+                out += [n for n, p in self.dicts[key].get(k.lower(), ()) if p is None or _found(p, v)]
         return out
 
 
+def _found(pattern, text: str) -> bool:
+    """Whether a pattern matches; one that takes too long doesn't."""
+    try:
+        return bool(pattern.search(text, timeout=5))
+    except TimeoutError:
+        return False
+
+
 def _key(key: str, known: tuple[str, ...]) -> None:
     if key not in known:
         raise ValueError(f"no such key: {key}; known are {', '.join(known)}")

@@ -11,7 +11,7 @@ from pagemill.functions import color, names, text
 from pagemill.operators import lz, pages, technology
 from pagemill.operators.packed_values import split_packed
 from pagemill.operators.records import flatten_records
-from pagemill.sources.tables import distinct_rows, spread, table
+from pagemill.sources.tables import per_delivery, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -99,60 +99,64 @@ _B = r"[A-Za-z0-9\x{80}-\x{10FFFF}](?:[A-Za-z0-9\x{80}-\x{10FFFF}-]*[A-Za-z0-9\x
 DOCS = "(SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)"
 
 
-def _documents(spark, d):
-    return distinct_rows(table(spark, d, "documents", "doc_id", "text").where("text is not null"))
+def _documents(spark, d, result):
+    """(doc_id, result) of every different delivery of a document."""
+    return per_delivery(table(spark, d, "documents", "doc_id", "text").where("text is not null"), "doc_id", "text", result)
 
 
 @query(f"SELECT doc_id, CAST(i AS INT) AS pos, regexp_replace(e[i + 1], '^''+|''+$', '', 'g') AS email FROM (SELECT doc_id, regexp_extract_all(text, '{_A}+(?:\\.{_A}+)*@{_B}(?:\\.{_B})+') AS e FROM {DOCS}), UNNEST(range(len(e))) AS t(i)")
 def emails(spark, d):
-    return _documents(spark, d).select("doc_id", F.posexplode(text.emails(F.col("text"))).alias("pos", "email"))
+    return _documents(spark, d, text.emails(F.col("text"))).select("doc_id", F.posexplode("result").alias("pos", "email"))
 
 
 @query(f"SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE 1 + len(regexp_extract_all(text, '[ \\t\\n\\f\\r][!-~]')) END AS INT) AS n_words FROM {DOCS}")
 def word_count(spark, d):
-    return _documents(spark, d).select("doc_id", text.count_words(F.col("text")).alias("n_words"))
+    return _documents(spark, d, text.count_words(F.col("text"))).withColumnRenamed("result", "n_words")
 
 
 @query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{WS}+', ' ', 'g'), '^ | $', '', 'g'), '[.,]$', '') AS sentence FROM {DOCS}")
 def normalize_sentence(spark, d):
-    return _documents(spark, d).select("doc_id", text.normalize(F.col("text")).alias("sentence"))
+    return _documents(spark, d, text.normalize(F.col("text"))).withColumnRenamed("result", "sentence")
 
 
 @query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS pos, part FROM (SELECT doc_id, i, regexp_replace(p[i], {TRIM}, '', 'g') AS part FROM (SELECT doc_id, regexp_split_to_array(text, '\\||\\p{{Zs}}-|-\\p{{Zs}}') AS p FROM {DOCS}), UNNEST(range(1, len(p) + 1)) AS t(i)) WHERE part != ''")
 def split_sentence(spark, d):
-    return _documents(spark, d).select("doc_id", F.posexplode(text.split_sentence(F.col("text"))).alias("pos", "part"))
+    return _documents(spark, d, text.split_sentence(F.col("text"))).select("doc_id", F.posexplode("result").alias("pos", "part"))
 
 
 @query(f"SELECT doc_id, CAST(i AS INT) AS pos, l[i + 1] AS line FROM (SELECT doc_id, regexp_extract_all(replace(text, chr(13), chr(10)), '\\n|[^\\n]+') AS l FROM {DOCS}), UNNEST(range(len(l))) AS t(i)")
 def separate_lines(spark, d):
-    return _documents(spark, d).select("doc_id", F.posexplode(text.separate_lines(F.array("text"))).alias("pos", "line"))
+    return _documents(spark, d, text.separate_lines(F.array("text"))).select("doc_id", F.posexplode("result").alias("pos", "line"))
 
 
-@query()
+_DOT_WORD = r"(?i:[0-9]+(?:e[0-9]+)?|inf|infinity|nan|net|travis|git|gitignore|com|gov|org|[a-z][a-z])"
+
+
+@query(f"SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '([\\p{{Pi}}\\p{{Ps}}¡¿]) ', '\\1', 'g'), ' ([\\p{{Pf}}\\p{{Pe}},;:!?…])', '\\1', 'g'), ' (\\.{_DOT_WORD}(?:[^\\p{{L}}\\p{{N}}]|$))', chr(1) || '\\1', 'g'), ' \\.', '.', 'g'), chr(1), ' ') AS joined FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '{WS}+', ' ', 'g'), '^ | $', '', 'g') AS s FROM {DOCS})")
 def join_sentences(spark, d):
     codes = text.country_codes(spark)
-    return _documents(spark, d).select("doc_id", text.join_sentences(F.split("text", "\n"), codes).alias("joined"))
+    return _documents(spark, d, text.join_sentences(F.split("text", "\n"), codes)).withColumnRenamed("result", "joined")
 
 
 @query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) - 1 AS INT) AS pos, s AS paragraph FROM (SELECT doc_id, i, p[i] AS s, CASE WHEN p[i] = '' THEN 0 ELSE 1 + len(regexp_extract_all(p[i], '[ \\t\\n\\f\\r][!-~]')) END AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM {DOCS}), UNNEST(range(1, len(p) + 1)) AS t(i)) WHERE n > 2")
 def order_paragraphs(spark, d):
-    return _documents(spark, d).select("doc_id", F.posexplode(text.order_paragraphs(F.split("text", "\n"))).alias("pos", "paragraph"))
+    return _documents(spark, d, text.order_paragraphs(F.split("text", "\n"))).select("doc_id", F.posexplode("result").alias("pos", "paragraph"))
 
 
 @query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS pos, s AS kept FROM (SELECT doc_id, i, regexp_replace(regexp_replace(regexp_replace(p[i], '(?:http|www)', '', 'gi'), '{WS}+', ' ', 'g'), '^ | $', '', 'g') AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM {DOCS}), UNNEST(range(1, len(p) + 1)) AS t(i)) WHERE s != '' AND NOT contains(lower(s), 'cookie') AND NOT contains(s, '©')")
 def stop_words(spark, d):
-    return _documents(spark, d).select("doc_id", F.posexplode(text.without_stops(F.split("text", "\n"), "http|www")).alias("pos", "kept"))
+    return _documents(spark, d, text.without_stops(F.split("text", "\n"), "http|www")).select("doc_id", F.posexplode("result").alias("pos", "kept"))
 
 
 @query("SELECT doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents)")
 def lz_roundtrip(spark, d):
-    docs = distinct_rows(table(spark, d, "documents", "doc_id", "text"))
-    return docs.select("doc_id", lz.lz_decompress(lz.lz_compress(F.col("text"))).alias("text"))
+    # the packed text is shuffled, not the text
+    return per_delivery(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", lz.lz_compress(F.col("text"))).select("doc_id", lz.lz_decompress(F.col("result")).alias("text"))
 
 
 @query()
 def lz_compressed(spark, d):
-    return _documents(spark, d).select("doc_id", lz.lz_compress(F.col("text")).alias("packed"))
+    return _documents(spark, d, lz.lz_compress(F.col("text"))).withColumnRenamed("result", "packed")
 
 
 # --- pages ----------------------------------------------------------------------------------------------------------------
@@ -171,18 +175,19 @@ def _group(of: str, pattern: str) -> str:
     return f"regexp_extract({of}, '{pattern}', 1)"
 
 
-def _pages(spark, d):
-    return distinct_rows(table(spark, d, "pages", "page_id", "html").where("html is not null"))
+def _pages(spark, d, result):
+    """(page_id, result) of every different delivery of a page."""
+    return per_delivery(table(spark, d, "pages", "page_id", "html").where("html is not null"), "page_id", "html", result)
 
 
 @query(f"SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM {PAGES}")
 def page_lang(spark, d):
-    return _pages(spark, d).select("page_id", pages.extract(F.col("html"), "lang").alias("lang"))
+    return _pages(spark, d, pages.extract(F.col("html"), "lang")).withColumnRenamed("result", "lang")
 
 
 @query(f"SELECT page_id, CAST(i AS INT) AS pos, {_UNESCAPE.format('a[i + 1]')} AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS a FROM {PAGES}), UNNEST(range(len(a))) AS t(i)")
 def hrefs(spark, d):
-    return _pages(spark, d).select("page_id", F.posexplode(pages.extract(F.col("html"), "href_attributes")).alias("pos", "href"))
+    return _pages(spark, d, pages.extract(F.col("html"), "href_attributes")).select("page_id", F.posexplode("result").alias("pos", "href"))
 
 
 _ANCHORS = f"(SELECT page_id, regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>') AS a FROM {PAGES})"
@@ -190,23 +195,23 @@ _ANCHORS = f"(SELECT page_id, regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*
 
 @query(f"SELECT page_id, CAST(i AS INT) AS pos, {_plain(_group('a[i + 1]', '^<a href=\"([^\"]*)\"'))} AS href, {_plain(_group('a[i + 1]', '>([^<]*)</a>$'), True)} AS text FROM {_ANCHORS}, UNNEST(range(len(a))) AS t(i)")
 def links(spark, d):
-    flat = _pages(spark, d).select("page_id", F.posexplode(pages.extract(F.col("html"), "links")).alias("pos", "l"))
+    flat = _pages(spark, d, pages.extract(F.col("html"), "links")).select("page_id", F.posexplode("result").alias("pos", "l"))
     return flat.select("page_id", "pos", "l.href", "l.text")
 
 
 @query(f"SELECT page_id, 'title' AS name, {_plain(_group('html', '<title>([^<]*)</title>'), True)} AS title FROM {PAGES}")
 def titles(spark, d):
-    return _pages(spark, d).select("page_id", F.explode(pages.extract(F.col("html"), "meta_titles")).alias("name", "title"))
+    return _pages(spark, d, F.map_entries(pages.extract(F.col("html"), "meta_titles"))).select("page_id", F.inline("result").alias("name", "title"))
 
 
 @query(f"SELECT DISTINCT page_id, {_UNESCAPE.format('m')} AS description FROM (SELECT page_id, UNNEST(regexp_extract_all(html, '<meta (?:name|property)=\"(?:og:)?description\" content=\"([^\"]+)\"', 1)) AS m FROM {PAGES})")
 def descriptions(spark, d):
-    return _pages(spark, d).select("page_id", F.explode(pages.extract(F.col("html"), "descriptions")).alias("description"))
+    return _pages(spark, d, pages.extract(F.col("html"), "descriptions")).select("page_id", F.explode("result").alias("description"))
 
 
 @query(f"SELECT page_id, {_plain(_group('html', '<meta name=\"keywords\" content=\"([^\"]+)\"'))} AS keywords FROM {PAGES}")
 def page_keywords(spark, d):
-    return _pages(spark, d).select("page_id", pages.extract(F.col("html"), "keywords").alias("keywords"))
+    return _pages(spark, d, pages.extract(F.col("html"), "keywords")).withColumnRenamed("result", "keywords")
 
 
 _MARKUP_LIKE = "contains(t, '<') AND contains(t, '>') AND (contains(t, '</') OR contains(t, '/>'))"
@@ -214,13 +219,13 @@ _MARKUP_LIKE = "contains(t, '<') AND contains(t, '>') AND (contains(t, '</') OR
 
 @query(f"SELECT page_id, CAST(i AS INT) AS pos, CASE WHEN {_MARKUP_LIKE} THEN '' ELSE t END AS block FROM (SELECT page_id, i, regexp_replace(a[i + 1], {TRIM}, '', 'g') AS t FROM (SELECT page_id, regexp_extract_all(html, '(?s)<script type=\"application/ld.json\">(.*?)</script>', 1) AS a FROM {PAGES}), UNNEST(range(len(a))) AS t(i))")
 def page_json_ld(spark, d):
-    return _pages(spark, d).select("page_id", F.posexplode(pages.extract(F.col("html"), "json_ld")).alias("pos", "block"))
+    return _pages(spark, d, pages.extract(F.col("html"), "json_ld")).select("page_id", F.posexplode("result").alias("pos", "block"))
 
 
 @query(f"SELECT page_id, CAST(h AS INT) AS level, CAST(i AS INT) AS pos, regexp_replace(regexp_replace(regexp_replace({_UNESCAPE.format('a[i + 1]')}, '{WS}+', ' ', 'g'), '^ | $', '', 'g'), '[.,]$', '') AS heading FROM (SELECT page_id, h, regexp_extract_all(html, '<h' || h || '>([^<]*)</h' || h || '>', 1) AS a FROM {PAGES}, range(1, 7) AS r(h)), UNNEST(range(len(a))) AS t(i)")
 def headings(spark, d):
-    s = _pages(spark, d).select("page_id", pages.sentences(F.col("html"), text.country_codes(spark), add_text_nodes=False).alias("s"))
-    flat = s.select("page_id", F.explode("s.h").alias("level", "texts")).select("page_id", F.substring("level", 2, 1).cast("int").alias("level"), F.posexplode("texts").alias("pos", "heading"))
+    s = _pages(spark, d, F.map_entries(pages.sentences(F.col("html"), text.country_codes(spark), add_text_nodes=False)["h"]))
+    flat = s.select("page_id", F.inline("result").alias("level", "texts")).select("page_id", F.substring("level", 2, 1).cast("int").alias("level"), F.posexplode("texts").alias("pos", "heading"))
     return flat
 
 
@@ -231,43 +236,49 @@ def _tidy(expression: str) -> str:
 
 @query(f"SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n DESC, i) - 1 AS INT) AS pos, s AS paragraph FROM (SELECT page_id, i, s, 1 + len(regexp_extract_all(s, '[ \t\n\f\r][!-~]')) AS n FROM (SELECT page_id, i, {_tidy(_plain('a[i + 1]'))} AS s FROM (SELECT page_id, regexp_extract_all(html, '<p>([^<]*)</p>', 1) AS a FROM {PAGES}), UNNEST(range(len(a))) AS t(i))) WHERE n > 2 AND NOT contains(lower(s), 'cookie') AND NOT contains(s, '©')")
 def sentences(spark, d):
-    s = _pages(spark, d).select("page_id", pages.sentences(F.col("html"), text.country_codes(spark)).alias("s"))
-    return s.select("page_id", F.posexplode("s.p").alias("pos", "paragraph"))
+    return _pages(spark, d, pages.sentences(F.col("html"), text.country_codes(spark))["p"]).select("page_id", F.posexplode("result").alias("pos", "paragraph"))
 
 
 @query()
 def text_groups(spark, d):
-    s = _pages(spark, d).select("page_id", pages.sentences(F.col("html"), text.country_codes(spark)).alias("s"))
-    return s.select("page_id", F.posexplode("s.text_nodes").alias("grp", "g")).select("page_id", "grp", F.posexplode("g").alias("pos", "text"))
+    s = _pages(spark, d, pages.sentences(F.col("html"), text.country_codes(spark))["text_nodes"])
+    return s.select("page_id", F.posexplode("result").alias("grp", "g")).select("page_id", "grp", F.posexplode("g").alias("pos", "text"))
 
 
-@query()
+_BODY = "regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>|<header>.*?</header>|<footer>.*?</footer>|<nav>.*?</nav>', '', 'g'), '(?s)<h[1-6]>.*?</h[1-6]>|<p>.*?</p>', '', 'g'), '(?s)<div class=\"header\">.*?<div id=\"content\">|<div class=\"footer\">.*$', '', 'g')"
+
+
+@query(f"SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS pos, s AS text FROM (SELECT page_id, i, {_plain('a[i]', True)} AS s FROM (SELECT page_id, regexp_extract_all({_BODY}, '>([^<]+)', 1) AS a FROM {PAGES}), UNNEST(range(1, len(a) + 1)) AS t(i)) WHERE s != ''")
 def other_texts(spark, d):
-    s = _pages(spark, d).select("page_id", pages.sentences(F.col("html"), text.country_codes(spark), remove_header=True, remove_footer=True).alias("s"))
-    return s.select("page_id", F.posexplode("s.other").alias("pos", "text"))
+    others = pages.sentences(F.col("html"), text.country_codes(spark), remove_header=True, remove_footer=True)["other"]
+    return _pages(spark, d, others).select("page_id", F.posexplode("result").alias("pos", "text"))
 
 
 @query(f"SELECT page_id, regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1) AS value FROM {PAGES}")
 def tag_attribute(spark, d):
-    return _pages(spark, d).select("page_id", pages.tag_attribute(F.col("html"), "head > meta", "charset").alias("value"))
+    return _pages(spark, d, pages.tag_attribute(F.col("html"), "head > meta", "charset")).withColumnRenamed("result", "value")
 
 
 @query(f"SELECT page_id, regexp_extract(html, '<h1>[^<]*</h1>') AS value FROM {PAGES}")
 def tag_html(spark, d):
-    return _pages(spark, d).select("page_id", pages.tag_html(F.col("html"), "body h1").alias("value"))
+    return _pages(spark, d, pages.tag_html(F.col("html"), "body h1")).withColumnRenamed("result", "value")
 
 
-@query()
+_CLEAN = "regexp_replace(regexp_replace(replace(html, '&#x27;', chr(39)), '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>', '', 'g'), '^<!DOCTYPE html>\\s*<html([^>]*)>\\s*<head>', '<!DOCTYPE html><html\\1><head>')"
+
+
+@query(f"SELECT page_id, array_to_string(list_transform(regexp_extract_all({_CLEAN}, '<[^>]*>|[^<]+'), lambda x: CASE WHEN starts_with(x, '<') THEN x ELSE replace(x, '&quot;', chr(34)) END), '') AS html FROM {PAGES}")
 def html_contents(spark, d):
-    return _pages(spark, d).select("page_id", pages.extract(F.col("html"), "html_contents").alias("html"))
+    return _pages(spark, d, pages.extract(F.col("html"), "html_contents")).withColumnRenamed("result", "html")
 
 
-@query()
+@query("SELECT * FROM (VALUES (-1::BIGINT, 'da', 0::INT, '/da'), (-1::BIGINT, 'da', 1::INT, '/d2'), (-1::BIGINT, 'en', 0::INT, '/en')) AS v(page_id, hreflang, pos, href) UNION ALL SELECT page_id, 'none', 0, html FROM pages WHERE contains(html, 'hreflang')")
 def alternates(spark, d):
     """The pages' own alternates, none in plain data, and those of one given page."""
     own = "<link rel=alternate hreflang=da href=/da><link rel=alternate hreflang=en href=/en><link rel=alternate hreflang=da href=/d2>"
-    both = _pages(spark, d).union(spark.createDataFrame([(-1, own)], "page_id bigint, html string"))
-    return both.select("page_id", F.explode(pages.extract(F.col("html"), "alternate_links")).alias("hreflang", "hrefs")).select("page_id", "hreflang", F.posexplode("hrefs").alias("pos", "href"))
+    both = table(spark, d, "pages", "page_id", "html").where("html is not null").union(spark.createDataFrame([(-1, own)], "page_id bigint, html string"))
+    found = per_delivery(both, "page_id", "html", F.map_entries(pages.extract(F.col("html"), "alternate_links")))
+    return found.select("page_id", F.inline("result").alias("hreflang", "hrefs")).select("page_id", "hreflang", F.posexplode("hrefs").alias("pos", "href"))
 
 
 # --- technology -----------------------------------------------------------------------------------------------------------
@@ -289,14 +300,36 @@ def _rules():
 
 @query(_HITS_SQL)
 def tech_text(spark, d):
-    return _pages(spark, d).select("page_id", F.explode(technology.detect_text(spark, _rules(), "html", technology.html_parts(F.col("html")))).alias("tech"))
+    return _pages(spark, d, technology.detect_text(spark, _rules(), "html", technology.html_parts(F.col("html")))).select("page_id", F.explode("result").alias("tech"))
 
 
 @query(f"WITH RECURSIVE hit AS ({_HITS_SQL}), c(page_id, tech) AS (SELECT page_id, tech FROM hit UNION SELECT page_id, b FROM c JOIN {_EDGES_SQL} ON tech = a) SELECT page_id, tech FROM c")
 def tech_full(spark, d):
     none, maps = F.array().cast("array<string>"), F.array().cast("array<map<string,string>>")
     found = technology.detect(spark, _rules(), technology.html_parts(F.col("html")), none, maps, maps, maps)
-    return _pages(spark, d).select("page_id", F.explode(found).alias("tech"))
+    return _pages(spark, d, found).select("page_id", F.explode("result").alias("tech"))
+
+
+#: Rules of every kind for the pages: scripts, selectors, variables, headers, cookies, meta data.
+_KINDS = {"apps": {
+    "Boxed": {"dom": "div.b4"}, "Mapped": {"dom": {"div#content": {"exists": ""}}}, "Graph": {"script": "\"@graph\"\\s*:", "implies": "Listing"}, "Listing": {"script": ["ItemList", "never"]},
+    "Rated": {"js": {"ratingValue": "\"?: ?"}, "implies": ["Shop"]}, "Shop": {}, "Nordic": {"meta": {"LANGUAGE": "^(?:da|sv|no)"}}, "Served": {"headers": {"server": "^https://www\\."}}, "Tracked": {"cookies": {"Sid": ""}}, "Bounded": {"html": "\\bdiv"}}}
+_SCRIPTS = "regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)"
+_FOUND_SQL = f"""SELECT page_id, 'Boxed' AS tech FROM k WHERE regexp_matches(html, '(?i)<[^>]*?div.*?b4') UNION SELECT page_id, 'Mapped' FROM k WHERE regexp_matches(html, '(?i)<[^>]*?div.*?content') UNION SELECT page_id, unnest(['Graph', 'Listing']) FROM k WHERE len(list_filter({_SCRIPTS}, lambda x: regexp_matches(x, '(?i)"@graph"\\s*:'))) > 0
+ UNION SELECT page_id, 'Listing' FROM k WHERE len(list_filter({_SCRIPTS}, lambda x: regexp_matches(x, '(?i)ItemList|never'))) > 0 UNION SELECT page_id, unnest(['Rated', 'Shop']) FROM k WHERE len(list_filter({_SCRIPTS}, lambda x: regexp_matches(x, 'ratingValue"?: ?'))) > 0
+ UNION SELECT page_id, 'Nordic' FROM k WHERE regexp_matches(regexp_extract(html, '<html lang="([^"]*)"', 1), '(?i)^(?:da|sv|no)') UNION SELECT page_id, 'Served' FROM k WHERE regexp_matches(url, '(?i)^https://www\\.') UNION SELECT page_id, 'Tracked' FROM k WHERE url IS NOT NULL"""
+
+
+@query(f"WITH k AS (SELECT DISTINCT page_id, url, html FROM pages WHERE html IS NOT NULL) {_FOUND_SQL}")
+def tech_kinds(spark, d):
+    """Rules of all kinds: scripts and variables over a page's scripts, selectors over its markup, header, cookie and meta rules over maps."""
+    import json
+
+    scripts = F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), F.lit(1))
+    one = lambda name, value: F.array(F.create_map(F.lit(name), value))
+    found = technology.detect(spark, technology.Rules(json.dumps(_KINDS)), F.array("html"), scripts, one("Server", F.col("url")), one("sid", F.col("url")), one("language", F.regexp_extract("html", r'<html lang="([^"]*)"', 1)))
+    rows = table(spark, d, "pages", "page_id", "url", "html").where("html is not null").withColumn("both", F.concat_ws("\n", "url", "html"))
+    return per_delivery(rows, "page_id", "both", found).select("page_id", F.explode("result").alias("tech")).distinct()
 
 
 @query(f"WITH RECURSIVE c(name, tech) AS (SELECT DISTINCT r_name, r_name FROM (SELECT 'Listed' AS r_name UNION ALL SELECT 'Rights' UNION ALL SELECT 'Other') UNION SELECT name, b FROM c JOIN {_EDGES_SQL} ON tech = a) SELECT name, tech FROM c")
@@ -312,7 +345,7 @@ def tech_dict(spark, d):
     return rows.select("event_id", F.explode(F.array_distinct(technology.detect_dict(spark, rules, "headers", F.create_map(F.lit("type"), "event_type")))).alias("tech")).distinct()
 
 
-@query()
+@query("SELECT kind, patterns::INT AS patterns FROM (VALUES ('html', 5), ('script', 0), ('dom', 0), ('js', 0), ('cookies', 0), ('headers', 0), ('meta', 0), ('implies', 4)) AS v(kind, patterns)")
 def tech_counts(spark, d):
     return spark.createDataFrame(sorted(_rules().counts().items()), "kind string, patterns int")
 
@@ -341,7 +374,7 @@ def rgb_hsl(spark, d):
     return h.select("p_partkey", at(0).alias("hue"), at(1).alias("saturation"), at(2).alias("lightness"))
 
 
-@query()
+@query("SELECT p_partkey, rank::INT AS rank, CASE WHEN (rank = 0) = (r < 128) THEN r ELSE 255 - r END::INT AS r, CASE WHEN (rank = 0) = (r < 128) THEN g ELSE 255 - g END::INT AS g, CASE WHEN (rank = 0) = (r < 128) THEN b ELSE 255 - b END::INT AS b FROM (SELECT p_partkey, " + _RGB + " FROM part), (VALUES (0), (1)) AS t(rank)")
 def palettes(spark, d):
     """Palettes of small images made of a part's colours: half one colour, half its complement."""
     k = _parts(spark, d)
@@ -353,5 +386,16 @@ def palettes(spark, d):
 
 @query()
 def human_name(spark, d):
-    rows = distinct_rows(table(spark, d, "parsed_names", "name_id", "raw_name"))
-    return rows.select("name_id", names.parse_name(F.col("raw_name")).alias("n")).select("name_id", "n.*")
+    rows = per_delivery(table(spark, d, "parsed_names", "name_id", "raw_name"), "name_id", "raw_name", names.parse_name(F.col("raw_name")))
+    return rows.select("name_id", "result.*")
+
+
+_WORD_SQL = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{2,}"
+
+
+@query(f"SELECT DISTINCT name_id, split_part(raw_name, ' ', 1) AS given_name, split_part(raw_name, ' ', 2) AS surname FROM parsed_names WHERE regexp_full_match(raw_name, '{_WORD_SQL} {_WORD_SQL}') AND NOT list_contains(['" + "','".join(sorted({*names.PREFIXES, *names.SUFFIXES, *map(str.lower, names.DEGREES), *names.PARTICLES})) + "'], lower(split_part(raw_name, ' ', 1))) AND NOT list_contains(['" + "','".join(sorted({*names.SUFFIXES, *map(str.lower, names.DEGREES), "aps", "gmbh", "ltd", "inc", "llc", "ag", "co"})) + "'], lower(split_part(raw_name, ' ', 2)))")
+def plain_names(spark, d):
+    """The parts of names of two plain words."""
+    whole = F.col("raw_name").rlike(f"^{_WORD_SQL} {_WORD_SQL}$")
+    rows = per_delivery(table(spark, d, "parsed_names", "name_id", "raw_name").where(whole), "name_id", "raw_name", names.parse_name(F.col("raw_name")))
+    return rows.where("result.given_name is not null").select("name_id", "result.given_name", "result.surname").distinct()

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,11 +25,14 @@ def spread(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
-    """Distinct rows by one shuffle. Copies collapse before they move; only an input of fewer partitions than cores is first spread by all
-    columns, so that Python work that follows isn't drawn into few tasks."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.distinct() if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *df.columns).distinct()
+def per_delivery(df: DataFrame, key: str, source: str, result: Column, name: str = "result") -> DataFrame:
+    """(key, name): the result of a row function for every different delivery, that is every different (key, source), once.
+
+    The function runs where the row was read; what is shuffled is the key, a 128-bit hash of the source and the result, never the source.
+    Equal deliveries have equal results, so they collapse before the shuffle too. Maps can't be compared: give their entries.
+    """
+    done = spread(df).select(key, F.unhex(F.md5(F.col(source).cast("binary"))).alias("_h"), result.alias(name))
+    return done.groupBy(key, "_h").agg(F.get(F.collect_set(name), F.lit(0)).alias(name)).drop("_h")
 
 
 def shared_dir(spark: SparkSession) -> str:
