@@ -27,7 +27,8 @@ def test_sentences(spark):
         assert r.p == ["The moon pulls twice a day", "A third bell rings at low water"]  # longest first as they stood, two words are too few, notices go
         assert r.other == ["Tide clock", "Brass", "Oak", "and", "ash", "Pier 4", "Northmole", "desk@tide.example"]
         assert r.descriptions == ["A small museum", "Clocks that follow the tide"]
-        assert r.text_nodes[0] == ["Tide clock"] and ["Pier 4", "Northmole", "desk@tide.example"] in r.text_nodes and not any("Lovely" in t or "var x" in t for g in r.text_nodes for t in g)
+        assert r.text_nodes[0] == ["Tide clock"] and r.text_nodes[1][:3] == ["Tide clocks ©rew €7", "open all winter", "How they work, The moon pulls ~drop~ twice a day."]
+        assert ["Pier 4", "Northmole", "desk@tide.example"] == [t for g in r.text_nodes for t in g if t[:4] in ("Pier", "Nort", "desk")] and not any("Lovely" in t or "var x" in t for g in r.text_nodes for t in g)
     assert rows[3].text_nodes == rows[5].text_nodes == [] and rows[3].keywords == "" and rows[4].p is None
     with pytest.raises(ValueError):
         P.sentences(F.lit(""), CODES, stop_word="(")
@@ -38,7 +39,7 @@ def test_lines_and_split():
     assert T.lines_of([]) == [] and T.lines_of(["\r\r"]) == ["\n", "\n"]
     n = "\n"
     blocks = lambda *gaps: [x for k, gap in enumerate(gaps) for x in (f"line {k}", *[n] * gap)] + ["end"]
-    for gaps, want in (((1, 1, 1), 1), ((2, 2), 2), ((2, 3, 2), 3), ((5, 1, 1), 1), ((4,), 4), ((), 1)):
+    for gaps, want in (((1, 1, 1), 1), ((2, 2), 2), ((2, 3, 2), 3), ((5, 1, 1), 2), ((4,), 4), ((), 1)):
         assert T.usual_split(blocks(*gaps)) == want, gaps
     assert T.usual_split([]) == T.usual_split([n, n]) == 1
     assert T.split_py("Tide tables | Northmole - harbour |") == ["Tide tables", "Northmole", "harbour"] and T.split_py("ebb-flow") == ["ebb-flow"]
