@@ -107,8 +107,12 @@ def p5_entities(spark, d):
     return _entities(spark, d)
 
 
+#: Where the tokenizer's vocabulary file is, unless the session's setting pagemill.tokenizer says otherwise.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
 def _mix(spark, d):
-    return mix(spread(table(spark, d, "documents", "doc_id", "text", "source")), table(spark, d, "mix_targets"))
+    return mix(spread(table(spark, d, "documents", "doc_id", "text", "source")), table(spark, d, "mix_targets"), tokenizer=spark.conf.get("pagemill.tokenizer", TOKENIZER))
 
 
 @query
