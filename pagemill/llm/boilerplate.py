@@ -31,8 +31,6 @@ _ALSO = re.compile(r"(?i)^(?:læs også|se også|läs (?:också|även)|read (?:a
 _ADVERT = re.compile(r"(?i)^(?:annonce|advertisement|advert|sponsored|sponsoreret|anzeige|werbung|annons|publicité|publicidad|publicidade|pubblicità|advertentie|reklame|реклама|إعلان|広告|广告|โฆษณา)\W*$")
 _SITE = ("cookie", "©", "all rights", "rettigheder", "newsletter", "nyhedsbrev", "nyhetsbrev", "unsubscribe", "afmelde")
 _DIGIT = re.compile(r"\d")
-#: A line of contact is at most so long.
-CONTACT_LINE = 160
 _CONTACT = re.compile(r"@|\d{2}[ .]?\d{2}[ .]\d{2}|^(?:tel|phone|mail|e-mail|tlf)\w*\W", re.I)
 UNITS = {"field": "smallint", "pos": "int", "item": "int", "e": "bigint", "n": "bigint", "flags": "int"}
 
@@ -47,7 +45,7 @@ def describe(text: str) -> tuple[int, int, int]:
     core = " ".join(text.split())
     core = core[:-1] if core[-1:] in (".", ",") else core
     e = _hash(core)
-    contact = len(core) <= CONTACT_LINE and bool(_CONTACT.search(core))
+    contact = bool(_CONTACT.search(core))
     long_ = not contact and core.count(" ") >= 2 and bool(_DIGIT.search(core))
     low = core.lower()
     flags = bool(_ALSO.match(core)) | bool(_ADVERT.match(core)) << 1 | any(w in low for w in _SITE) << 2 | contact << 3

@@ -76,6 +76,10 @@ def distance(a: str, b: str, most: int) -> int:
     return row[m]
 
 
+#: A given name is taken for a misspelt one if it is so many times rarer than a usual one, or than the other of two.
+RARE = 25
+
+
 def edits(length: int) -> int:
     """Edits allowed for a string of a length."""
     return 0 if length < 3 else 1 if length < 6 else 2
@@ -276,10 +280,13 @@ def entities(names: DataFrame) -> DataFrame:
     rows = _places(cut(_turn(cut(rows, "names")), "turned"))
     rows = rows.withColumn("place", F.when((F.col("town") == "") & (F.col("emp") == ""), F.concat(F.lit("#"), F.col("name_id"))).otherwise(F.col("place")))
     rows = cut(rows.withColumn("node", F.xxhash64("place", "firm", "g", "i", "m", "mi", "s", "suffix")), "rows")
-    n = rows.count()
     cols = ["node", "place", "firm", "g", "i", "m", "mi", "s", "suffix"]
     often = lambda c: rows.where(f"{c} != ''").groupBy(c).agg(F.count(F.lit(1)).alias("n" + c))
-    forms = cut(rows.select(cols).distinct().join(often("s"), "s", "left").join(often("g"), "g", "left").na.fill({"ns": 0, "ng": 0}), "forms")
+    surnames, givens = cut(often("s"), "surnames"), cut(often("g"), "givens")
+    # how often the name of a usual row occurs: half of the rows have a commoner one. Names typed right have such counts, whatever the table's size
+    usual = lambda counts, c: float(counts.agg(F.percentile(c, F.lit(0.5), F.col(c))).first()[0] or 0.0)
+    usual_s, usual_g = usual(surnames, "ns"), usual(givens, "ng")
+    forms = cut(rows.select(cols).distinct().join(surnames, "s", "left").join(givens, "g", "left").na.fill({"ns": 0, "ng": 0}), "forms")
     spelt = forms.select("place", "s").distinct()
     near = segment_join(spelt, "place", "s").withColumn("d", _distance_udf("a", "b")).where("d <= 2").drop("d")
     same = spelt.select(F.col("place").alias("block"), F.col("s").alias("a"), F.col("s").alias("b"))
@@ -288,9 +295,8 @@ def entities(names: DataFrame) -> DataFrame:
     right = forms.select(*[F.col(c).alias(c + "2") for c in [*cols, "ns", "ng"]])
     on = pairs.join(left, (F.col("block") == F.col("place1")) & (F.col("a") == F.col("s1"))).join(right, (F.col("block") == F.col("place2")) & (F.col("b") == F.col("s2")))
     quiet = lambda c: f"({c}1 = '' or {c}2 = '' or {c}1 = {c}2)"
-    # two spellings that are both common are two names
-    unlike = f"(s1 = s2 or least(ns1, ns2) <= {max(2, n // 4000)} or least(ns1, ns2) * 4 <= greatest(ns1, ns2))"
-    common = max(20, n // 2000)
+    # two spellings that are both common are two names: one of them must be a quarter as frequent as a usual name or as the other, or single
+    unlike = f"(s1 = s2 or least(ns1, ns2) = 1 or least(ns1, ns2) * 4 <= {usual_s} or least(ns1, ns2) * 4 <= greatest(ns1, ns2))"
     open_ = on.where("node1 != node2 and (a != b or node1 < node2)").where(" and ".join([quiet("firm"), quiet("suffix"), quiet("mi"), unlike, "(g1 = '' or g2 = '' or substring(g1,1,1) = substring(g2,1,1) or length(g1) >= 2)"]))
     full = cut(open_, "candidates")
     met = full.where("g1 != '' and g2 != '' and g1 != g2 and s1 = s2").select(F.least("g1", "g2").alias("x"), F.greatest("g1", "g2").alias("y"), F.xxhash64("block", "s1").alias("at")).distinct()
@@ -306,7 +312,7 @@ def entities(names: DataFrame) -> DataFrame:
             elif a and b and a != b and distance(e, f, 1) > 1:
                 out.append(False)  # two edits in the surname and another given name are too much
             elif a and b:
-                out.append(given_fits(a, b, bool(k), min(p, q) < common))
+                out.append(given_fits(a, b, bool(k), min(p, q) == 1 or min(p, q) * RARE <= max(usual_g, p, q)))
             else:
                 out.append(not x or not y or bool(initials(a, x) & initials(b, y)))
         return pd.Series(out)

@@ -233,8 +233,20 @@ def right_features(text: str, start: int, history: str = "u") -> list[str]:
     return out
 
 
-def _both(left: list[str], right: list[str]) -> list[str]:
-    return [*left, *right, "B" + next(x for x in left if x[:2] == "Ls") + right[min(1, len(right) - 1)], "X" + "".join(x for x in (*left, *right) if x[:2] in ("Lx", "Rx"))]
+def surroundings(text: str, floor: int, end: int, start: int) -> list[str]:
+    """What the unit before a boundary and the text after it say of their kind: a line of rights, labels of contact."""
+    out = ["Ur"] if text[floor : floor + 9].lstrip()[:1] == "©" else []
+    before, after = bool(_CONTACT.search(text, floor, end)), bool(_CONTACT.search(text, start, start + 120))
+    return out + ["Uc" + "b" * before + "a" * after] * (before or after)
+
+
+def one_unit(text: str) -> bool:
+    """Whether a text is surely a line of rights or contact: it begins with the sign, or its last word is an address behind its label."""
+    return text.lstrip()[:1] == "©" or bool(_CONTACT.search(text) and re.search(r"\d{3}", text) and "@" in text and not re.search(r"[!?]", text) and _LABELLED.search(text))
+
+
+def _both(left: list[str], right: list[str], around: list[str]) -> list[str]:
+    return [*left, *right, *around, "B" + next(x for x in left if x[:2] == "Ls") + right[min(1, len(right) - 1)], "X" + "".join(x for x in (*left, *right) if x[:2] in ("Lx", "Rx"))]
 
 
 def _prose(text: str) -> bool:
@@ -261,11 +273,16 @@ def examples(texts: list[str], seed: int = 11) -> tuple[list[list[str]], list[fl
         key = _right_key(text, start)
         return right_features(text, start, _history(opens[key] - own, after[key] - (1 - own)))
 
-    def add(left, right, label):
-        for r in (_both(left, right), left, right) if left and right else (left or right,):
+    def add(left, right, label, around=()):
+        for r in (_both(left, right, around), left, right) if left and right and not around else (_both(left, right, around),) if around else (left or right,):
             rows.append(r)
             labels.append(label)
 
+    # candidates of lines that are one unit are none, but such a line may be a whole text's beginning: its kind is a feature, no more
+    for text in dict.fromkeys(x.strip() for x in texts):
+        if one_unit(text):
+            for end, start in candidates(text):
+                add(left(text, end), right(text, start), 0.0, surroundings(text, 0, end, start) or ["U"])
     for i, text in enumerate(prose):
         other = prose[rng.randrange(len(prose))]
         same = lambda a, b: (_thai(a[0]), _cjk(a[0])) == (_thai(b[0]), _cjk(b[0]))
@@ -303,7 +320,7 @@ def examples(texts: list[str], seed: int = 11) -> tuple[list[list[str]], list[fl
 
 
 def split(text: str, model: dict[str, float], opened: set[str] | tuple = (), asked: set[str] | None = None) -> list[int]:
-    """Ends of the sentence units of an element. Blank text has none; a contact or rights line is one unit.
+    """Ends of the sentence units of an element. Blank text has none.
 
     opened: tokens known to open elements, besides those of the model; asked takes up those that it would help to know of.
     """
@@ -311,7 +328,7 @@ def split(text: str, model: dict[str, float], opened: set[str] | tuple = (), ask
     if not n:
         return []
     marks = candidates(text)
-    if not marks or (len(text) < 400 and (text.lstrip()[:1] == "©" or (_CONTACT.search(text) and re.search(r"\d{3}", text) and "@" in text and not re.search(r"[!?]", text) and len(marks) <= 4 and _LABELLED.search(text)))):
+    if not marks:
         return [n]
     out, floor = [], 0
     for end, start in marks:
@@ -325,7 +342,7 @@ def split(text: str, model: dict[str, float], opened: set[str] | tuple = (), ask
             if key not in opened:
                 continue  # only a known opener stands there
             right = right_features(text, start, "e")
-        if maxent.score(model, _both(left, right)) > 0:
+        if maxent.score(model, _both(left, right, surroundings(text, floor, end, start))) > 0:
             out.append(end)
             floor = start
     return [*out, n]
