@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import maxent
 from pagemill.llm.pages import Memo, field_name
-from pagemill.packing import map_units, packed
+from pagemill.packing import map_units, packed, unpack
 from pagemill.sources.tables import cut
 
 #: Words that open links to other pages, adverts, and site notices.
@@ -54,7 +54,8 @@ def describe(text: str) -> tuple[int, int, int]:
 
 
 def page_units(df: DataFrame) -> DataFrame:
-    """(page_id, host, title, units) of every page with elements, repeated deliveries once; title: hash of the first line."""
+    """(page_id, key, host, title, units) of every page with elements, each different delivery once; title: hash of the first line."""
+
     def make():
         seen = Memo(describe)
 
@@ -68,9 +69,9 @@ def page_units(df: DataFrame) -> DataFrame:
         return rows
 
     made = map_units(df.select("page_id", "host", "h", "p", "text_nodes"), "page_id", UNITS, make)
-    once = made.groupBy("page_id", F.when(F.col("page_id").isNull(), F.xxhash64("units")).alias("salt")).agg(F.max("units").alias("units"))
+    once = made.groupBy("page_id", F.xxhash64("units").alias("salt")).agg(F.max("units").alias("units"))
     body = F.slice("units", 2, F.size("units") - 1)
-    key = F.coalesce("page_id", F.col("salt"))
+    key = F.xxhash64("page_id", "salt")
     return once.select("page_id", key.alias("key"), F.get("units", F.lit(0)).getField("e").alias("host"), F.get("units", F.lit(1)).getField("e").alias("title"), body.alias("units"))
 
 
@@ -229,18 +230,11 @@ def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[boo
 
 #: Smoothness: neighbours in a group, member and hub, neighbouring groups' hubs.
 NEXT, HUB, BESIDE = 0.4, 0.3, 0.1
-#: Least cost of keeping a link to another page or an advert's label.
-SURE = 4.0
 
 
 def costs_of(model: dict[str, float]) -> Memo:
     """Costs by an element's discrete properties: how much more it costs to keep it than to drop it."""
-
-    def cost(key: tuple) -> float:
-        c = max(-12.0, min(12.0, maxent.score(model, expand(key))))
-        return max(c, SURE) if key[-1] & 3 else c
-
-    return Memo(cost, 30_000_000)
+    return Memo(lambda key: max(-12.0, min(12.0, maxent.score(model, expand(key)))), 30_000_000)
 
 
 def label(page: Page, costs: Memo) -> list[bool]:
@@ -285,7 +279,7 @@ def boilerplate(df: DataFrame, pages: int = 1500) -> DataFrame:
     """(page_id, field, pos, item) of the boilerplate elements of text_nodes, p and h1…h6 of pages(page_id, host, h, p, text_nodes).
 
     Null or blank elements and pages without any give nothing; a null host counts as one host; a page without page_id is judged
-    alone. Identical deliveries count once (of different ones under one page_id the greater). pages: the bounded sample for fitting.
+    alone. Identical deliveries count once, different ones under one page_id are judged each. pages: the bounded sample for fitting.
     """
     found = cut(page_units(df), "units")
     known = recurrence(found)
@@ -307,10 +301,18 @@ def boilerplate(df: DataFrame, pages: int = 1500) -> DataFrame:
                 yield packed(ids, done, {"field": "smallint", "pos": "int", "item": "int"}, "page_id")
 
     out = both.mapInArrow(run, "page_id bigint, units array<struct<field:smallint,pos:int,item:int>>")
-    return out.select("page_id", F.inline("units")).withColumn("field", field_name())
+    return unpack(out, "page_id").withColumn("field", field_name())
 
 
 def main_text(df: DataFrame, found: DataFrame) -> DataFrame:
-    """(page_id, pos, item, text): the elements of text_nodes that aren't boilerplate, one row each, repeated deliveries once."""
-    all_ = df.select("page_id", F.posexplode("text_nodes").alias("pos", "g")).select("page_id", "pos", F.posexplode("g").alias("item", "text")).where("text is not null and trim(text) != ''")
-    return all_.distinct().join(found.where("field = 'text_nodes'").drop("field"), ["page_id", "pos", "item"], "left_anti")
+    """(page_id, pos, item, text): the elements of text_nodes that aren't boilerplate, one row each, repeated deliveries once.
+
+    The text moves once: deliveries are joined to their page's labels and made distinct in one partitioning. Pages without an id keep all
+    and are spread by their text.
+    """
+    gone = found.where("field = 'text_nodes' and page_id is not null").groupBy(F.col("page_id").alias("k")).agg(F.collect_set(F.struct("pos", "item")).alias("gone"))
+    texts = df.select("page_id", "text_nodes", F.coalesce("page_id", F.xxhash64("text_nodes")).alias("k")).repartition("k")
+    each = texts.join(gone, "k", "left").select("k", "page_id", "gone", F.posexplode("text_nodes").alias("pos", "g"))
+    each = each.select("k", "page_id", "gone", "pos", F.posexplode("g").alias("item", "text")).where("text is not null and trim(text) != ''")
+    kept = each.where(~F.coalesce(F.array_contains("gone", F.struct("pos", "item")), F.lit(False)))
+    return kept.select("k", "page_id", "pos", "item", "text").distinct().drop("k")

@@ -1,9 +1,9 @@
 """Evaluation texts in a corpus: a distributed positional inverted index, searched from the rarest terms of each item.
 
-The index holds the places of every term of the items in every document. Each item is cut into segments; the rarest terms of each
-segment are its anchors. Their postings are intersected by offset (place in the document less place in the item): documents
-where anchors agree within an interruption's length are candidates, and the postings of all the item's terms then give the
-longest phrase in order. A document leaks an item if that phrase is long and dense enough.
+The index holds the places of every term of the items in every document. Each item is cut into segments of a few words; the rarest
+terms of each segment are its anchors, so a longer item has more. Their postings are intersected by offset (place in the document
+less place in the item): documents where anchors agree within an interruption's length are candidates, and the postings of all the
+item's terms then give the longest phrase in order, with its places. A document leaks an item if that phrase is long and dense enough.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pagemill.sources.tables import cut
 
 _MARKUP = r"\[/?\w{1,12}(?:=[^\]\n]{0,80})?\]|</?\w{1,12}(?:\s[^>\n]{0,200})?>"
 _TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]]+"
-#: Most terms of all items that are broadcast; beyond, the join shuffles.
+#: Most terms or anchors of all items that are broadcast; beyond, the join shuffles.
 MOST_TERMS = 500_000
 
 
@@ -36,9 +36,10 @@ def build_index(documents: DataFrame, key: str, text: str, terms: DataFrame | No
     return words.groupBy("term", key).agg(F.array_sort(F.collect_set("pos")).alias("places"))
 
 
-def anchors(items: DataFrame, frequency: DataFrame, segments: int = 6, each: int = 2) -> DataFrame:
-    """(item_id, term, at): the rarest terms that occur at all, `each` per segment of an item."""
+def anchors(items: DataFrame, frequency: DataFrame, words: int = 10, each: int = 2) -> DataFrame:
+    """(item_id, term, at): the rarest terms that occur at all, `each` per segment of about so many words; an item has four segments at least."""
     size = items.groupBy("item_id").agg((F.max("pos") + 1).alias("size"))
+    segments = F.greatest(F.lit(4), F.ceil(F.col("size") / words))
     placed = items.join(size, "item_id").withColumn("segment", F.floor(F.col("pos") * segments / F.col("size")))
     rank = F.row_number().over(Window.partitionBy("item_id", "segment").orderBy("df", "term", "pos"))
     return placed.join(frequency, "term").withColumn("rank", rank).where(f"rank <= {each}").select("item_id", "term", F.col("pos").alias("at"))
@@ -62,8 +63,8 @@ def windows(hits: list[tuple[int, int]], size: int, slack: int) -> list[tuple[in
     return out
 
 
-def longest(item: list[str], places: dict[str, list[int]], span: tuple[int, int]) -> tuple[float, float]:
-    """(share, density) of the best passage: the longest run of item words in the same order in a stretch of a document, cut to the part
+def longest(item: list[str], places: dict[str, list[int]], span: tuple[int, int]) -> tuple[float, float, int, int, int, int]:
+    """(share, density, first and last word in the item, first and last place in the document) of the best passage: the longest run of item words in the same order in a stretch of a document, cut to the part
     where matched words most outweigh the item's words left out and the other words between them (an interruption counts as four at most). share: that part's length in the item over the
     item's; density: the part's matched words over its length."""
     tails: list[int] = []
@@ -101,52 +102,50 @@ def longest(item: list[str], places: dict[str, list[int]], span: tuple[int, int]
         if score > best[0]:
             best = (score, first, k)
     if not run:
-        return 0.0, 0.0
-    length = run[best[2]][0] - run[best[1]][0] + 1
-    return length / len(item), (best[2] - best[1] + 1) / length
+        return 0.0, 0.0, -1, -1, -1, -1
+    (i, p), (k, q) = run[best[1]], run[best[2]]
+    length = k - i + 1
+    return length / len(item), (best[2] - best[1] + 1) / length, i, k, p, q
 
 
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = 0.48, density: float = 0.75, slack: int = 60) -> DataFrame:
-    """(key, item_id, share, density): the documents that hold a passage of an item.
+    """(key, item_id, share, density, item_from, item_to, start, end, exact): the documents that hold a passage of an item.
 
     share, density: least length of the passage over the item's, and least part of its words found as they are (the rest may be
-    misspelt). slack: the longest interruption in words. Null and empty texts hold
-    nothing; items without words have no leaks; documents without a key are left out; repeated deliveries count once. The
-    items (an evaluation set) are small and reach the driver; the documents never do.
+    misspelt). item_from, item_to, start, end: the passage's first and last word in the item and in the document, counted in words
+    without markup; exact: every word of it stands there, nothing between. slack: the longest interruption in words. Null and empty
+    texts hold nothing; items without words have no leaks; documents without a key are left out; repeated deliveries count once.
+    Neither items nor documents reach the driver.
     """
     items = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).alias("item_id"), F.col(item_text).alias("item_text"))
-    parts = tokens(items, "item_id", "item_text").distinct().cache()
+    parts = cut(tokens(items, "item_id", "item_text").distinct(), "items")
     postings = cut(build_index(documents.select(key, text), key, text, parts.select("term").distinct()), "postings")
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    item_words = {r.item_id: r.all for r in parts.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("all")).collect()}
-    item_words = {i: [x.term for x in all_] for i, all_ in item_words.items()}
-    parts.unpersist()
-    shared = documents.sparkSession.sparkContext.broadcast(item_words)
-    chosen = anchors(tokens(items, "item_id", "item_text").distinct(), frequency)
-    few = len(item_words) * 12 <= MOST_TERMS  # twelve anchors an item
+    words = cut(parts.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("all")).select("item_id", F.col("all.term").alias("words"), F.size("all").alias("size")), "words")
+    chosen = cut(anchors(parts, frequency), "anchors")
+    few = chosen.count() <= MOST_TERMS
     hits = postings.join(F.broadcast(chosen) if few else chosen, "term").select(key, "item_id", "at", F.explode("places").alias("place"))
-    grouped = hits.groupBy(key, "item_id").agg(F.collect_list(F.struct("place", "at")).alias("hits"), F.count_distinct("at").alias("n")).where("n >= 2")
+    grouped = hits.groupBy(key, "item_id").agg(F.collect_list(F.struct("place", "at")).alias("hits")).where(F.size(F.array_distinct("hits.at")) >= 2).join(words.select("item_id", "size"), "item_id")
 
     @F.pandas_udf("array<struct<lo:int,hi:int>>")
-    def stretch(item: pd.Series, found: pd.Series) -> pd.Series:
-        known = shared.value
-        return pd.Series([[{"lo": a, "hi": b} for a, b in windows([(h["place"], h["at"]) for h in f], len(known[i]), slack)] for i, f in zip(item, found)])
+    def stretch(size: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([[{"lo": a, "hi": b} for a, b in windows([(h["place"], h["at"]) for h in f], int(n), slack)] for n, f in zip(size, found)])
 
-    candidates = cut(grouped.select(key, "item_id", stretch("item_id", "hits").alias("spans")).where("size(spans) > 0"), "candidates")
+    candidates = cut(grouped.select(key, "item_id", stretch.asNondeterministic()("size", "hits").alias("spans")).where("size(spans) > 0"), "candidates")
     wanted = candidates.select(key).distinct()
     held = postings.join(wanted, key, "left_semi").groupBy(key).agg(F.collect_list(F.struct("term", "places")).alias("terms"))
 
-    @F.pandas_udf("struct<share:double,density:double>")
+    @F.pandas_udf("struct<share:double,density:double,item_from:int,item_to:int,start:int,end:int>")
     def cover(item: pd.Series, spans: pd.Series, terms: pd.Series) -> pd.DataFrame:
-        known = shared.value
         out = []
-        for i, s, t in zip(item, spans, terms):
-            places = {x["term"]: list(x["places"]) for x in t}
-            out.append(max((longest(known[i], places, (x["lo"], x["hi"])) for x in s), key=lambda r: r[0] * (r[1] >= density)))
-        return pd.DataFrame(out, columns=["share", "density"])
-
-    done = candidates.join(held, key).select(key, "item_id", cover("item_id", "spans", "terms").alias("c")).select(key, "item_id", "c.*")
-    return done.where((F.col("share") >= share) & (F.col("density") >= density))
+        for own, s, t in zip(item, spans, terms):
+            places, own = {x["term"]: list(x["places"]) for x in t}, list(own)
+            out.append(max((longest(own, places, (x["lo"], x["hi"])) for x in s), key=lambda r: r[0] * (r[1] >= density)))
+        return pd.DataFrame(out, columns=["share", "density", "item_from", "item_to", "start", "end"])
+
+    done = candidates.join(words, "item_id").join(held, key).select(key, "item_id", cover.asNondeterministic()("words", "spans", "terms").alias("c")).select(key, "item_id", "c.*")
+    exact = (F.col("density") == 1.0) & (F.col("end") - F.col("start") == F.col("item_to") - F.col("item_from"))
+    return done.where((F.col("share") >= share) & (F.col("density") >= density)).withColumn("exact", exact)
 
 
 def leak_report(found: DataFrame) -> DataFrame:

@@ -77,6 +77,12 @@ def p8_found(spark, d):
     return _leaks(spark, d).select("doc_id", "item_id")
 
 
+@query
+def p8_passages(spark, d):
+    """Where the passages stand, in the item and in the document."""
+    return _leaks(spark, d)
+
+
 @query
 def p8_report(spark, d):
     return leak_report(_leaks(spark, d))
