@@ -60,7 +60,7 @@ def p4_found(spark, d):
 @query
 def p6_found(spark, d):
     units = language_units(spread(table(spark, d, "sentences", "page_id", "lang", "p", "descriptions")))
-    return units.where("declared is null or lang != declared").select("page_id", "field", "pos", "lang").distinct()
+    return units.where("lang != 'und' and (declared is null or lang != declared)").select("page_id", "field", "pos", "lang").distinct()
 
 
 @query
