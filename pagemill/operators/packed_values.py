@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from pagemill.sources.tables import cut
+from pagemill.sources.tables import cut, discard
 
 #: What may part two values.
 DELIMITER = r"[,;|·•‣\t\n\r\v\f\x85  ，、；،؛]|(?<=\s)/|/(?=\s)|(?<=\s)[-–—](?=\s)"
@@ -198,11 +198,12 @@ def split_packed(df: DataFrame, key: str, column: str, rounds: int = 3) -> DataF
     edges = single.select("id", "n", "g", F.col("place").alias("a"), F.lit(1).alias("k"), "h", "size", "gap", "kind")
     edges = edges.unionByName(known.select("id", "n", "g", "a", "k", "h", F.lit(0).alias("size"), F.lit(0).alias("gap"), F.lit("").alias("kind"))).withColumn("p", F.lit(0.0))
     counts, rates = cut(alone.withColumn("c", F.col("c").cast("double")), "alone"), {}
-    first = counts
+    first, solved = counts, None
     for round_ in range(rounds):
         of = counts.agg(F.sum("c").alias("all"), F.sum(F.when(F.col("c") < 1.5, F.col("c"))).alias("once")).first()
         total, once = float(of["all"] or 0.0), float(of["once"] or 0.0)
-        solved = cut(_solve(edges.join(counts, "h", "left"), rates, total, (once + 1) / (total + 2)), "solved")
+        before, solved = solved, cut(_solve(edges.join(counts, "h", "left"), rates, total, (once + 1) / (total + 2)), "solved")
+        discard(*([before] if before else []), *([counts] if counts is not first else []))
         edges = solved.select("id", "n", F.inline("posts"))
         if round_ == rounds - 1:
             break

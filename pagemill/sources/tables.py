@@ -51,22 +51,37 @@ def shared_dir(spark: SparkSession) -> str:
 _CUT: list[str] = []
 
 
+def _delete(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables that cut has written in this process, once the results that read them are saved; how many there were."""
     done = 0
     while _CUT:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_CUT.pop())
-        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+        done += _delete(spark, _CUT.pop())
     return done
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut has written and that nothing reads any more, such as those of an earlier round."""
+    for df in tables:
+        path = getattr(df, "_cut", None)
+        if path in _CUT:
+            _CUT.remove(path)
+            _delete(df.sparkSession, path)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and keeps the work if executors are lost."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     _CUT.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
