@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.sources.tables import cut
+from pagemill.sources.tables import cut, discard
 
 #: Nicknames by given name.
 NICKNAMES = {
@@ -149,7 +149,8 @@ def segment_join(strings: DataFrame, block: str, text: str, wanted: str | None =
     # wanted strings meet only others: w goes into the key, turned on one side
     w, turned = ("w", F.expr("not w")) if wanted else (F.lit(False), F.lit(False))
     left = rows.select("block", "w", F.col("t").alias("a"), index.asNondeterministic()("t").alias("ks")).select("block", "w", "a", F.explode("ks").alias("k")).select("block", "w", "a", F.xxhash64("block", "k", w).alias("key"))
-    right = rows.select("block", "w", F.col("t").alias("b"), probe.asNondeterministic()("t").alias("ks")).select("block", "w", "b", F.explode("ks").alias("k")).select(F.col("block").alias("block2"), F.col("w").alias("w2"), "b", F.xxhash64("block", "k", turned).alias("key"))
+    right = rows.select("block", "w", F.col("t").alias("b"), probe.asNondeterministic()("t").alias("ks")).select("block", "w", "b", F.explode("ks").alias("k"))
+    right = right.select(F.col("block").alias("block2"), F.col("w").alias("w2"), "b", F.xxhash64("block", "k", turned).alias("key"))
     # two edits, exchanges among them, are four of Levenshtein's at most: that leaves few pairs to shuffle and to verify
     found = left.join(right, "key").where("a != b and block = block2 and levenshtein(a, b, 4) >= 0" + (" and w != w2" if wanted else ""))
     if wanted:
@@ -257,14 +258,16 @@ def _places(rows: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, comp): connected components of edges(a, b) by spreading the least label; every round is written to the shared folder."""
-    labels = cut(nodes.select("node", F.col("node").alias("comp")), "labels")
+    labels = table = cut(nodes.select("node", F.col("node").alias("comp")), "labels")
     links = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     while True:
         spread_ = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near")).withColumnRenamed("a", "node")
         new = labels.join(spread_, "node", "left").select("node", F.least("comp", F.coalesce("near", "comp")).alias("comp"), (F.coalesce("near", "comp") < F.col("comp")).alias("moved"))
         jumped = cut(new.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("beyond")), "comp", "left").select("node", F.least("comp", F.coalesce("beyond", "comp")).alias("comp"), "moved"), "labels")
-        labels = jumped.select("node", "comp")
+        discard(table)
+        labels, table = jumped.select("node", "comp"), jumped
         if not jumped.where("moved").limit(1).count():
+            discard(links)
             return labels
 
 
@@ -276,7 +279,10 @@ def entities(names: DataFrame) -> DataFrame:
     stand at no place and link to no other; repeated rows count once; other columns aren't read.
     """
     parts = _parts("given_name", "middle_name", "middle_initials", "surname", "raw_name", "employer", "town")
-    rows = names.where("name_id is not null and surname is not null").select(F.col("name_id").cast("bigint").alias("name_id"), parts.alias("p"), F.coalesce(F.lower(F.regexp_replace("generational_suffix", r"\W", "")), F.lit("")).alias("suffix")).select("name_id", "p.*", "suffix").where("s != ''").distinct()
+    suffix = F.coalesce(F.lower(F.regexp_replace("generational_suffix", r"\W", "")), F.lit(""))
+    named = names.where("name_id is not null and surname is not null")
+    rows = named.select(F.col("name_id").cast("bigint").alias("name_id"), parts.alias("p"), suffix.alias("suffix"))
+    rows = rows.select("name_id", "p.*", "suffix").where("s != ''").distinct()
     rows = _places(cut(_turn(cut(rows, "names")), "turned"))
     rows = rows.withColumn("place", F.when((F.col("town") == "") & (F.col("emp") == ""), F.concat(F.lit("#"), F.col("name_id"))).otherwise(F.col("place")))
     rows = cut(rows.withColumn("node", F.xxhash64("place", "firm", "g", "i", "m", "mi", "s", "suffix")), "rows")
@@ -301,7 +307,9 @@ def entities(names: DataFrame) -> DataFrame:
     full = cut(open_, "candidates")
     met = full.where("g1 != '' and g2 != '' and g1 != g2 and s1 = s2").select(F.least("g1", "g2").alias("x"), F.greatest("g1", "g2").alias("y"), F.xxhash64("block", "s1").alias("at")).distinct()
     seen = forms.where("g != ''").select("g", "place", "s").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("c"))
-    learnt = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").join(seen.select(F.col("g").alias("x"), F.col("c").alias("cx")), "x").join(seen.select(F.col("g").alias("y"), F.col("c").alias("cy")), "y").where("n >= 0.25 * least(cx, cy)").select("x", "y", F.lit(True).alias("learnt"))
+    learnt = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    learnt = learnt.join(seen.select(F.col("g").alias("x"), F.col("c").alias("cx")), "x").join(seen.select(F.col("g").alias("y"), F.col("c").alias("cy")), "y")
+    learnt = learnt.where("n >= 0.25 * least(cx, cy)").select("x", "y", F.lit(True).alias("learnt"))
 
     @F.pandas_udf("boolean")
     def fits(s1: pd.Series, s2: pd.Series, g1: pd.Series, g2: pd.Series, i1: pd.Series, i2: pd.Series, n1: pd.Series, n2: pd.Series, m1: pd.Series, m2: pd.Series, known: pd.Series) -> pd.Series:

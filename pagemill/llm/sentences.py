@@ -336,7 +336,10 @@ def split(text: str, model: dict[str, float], opened: set[str] | tuple = (), ask
         key = _right_key(text, start)
         right = right_features(text, start, _STATE[model.get("#R" + key, 0.0)])
         sure = any(x[:3] == "Rxe" for x in right)
-        if not sure and (end == start and not _cjk(text[end]) and not _cjk(text[end - 1]) or _thai(text[start]) and text[end - 1].isalnum() and not _thai(text[end - 1]) or text[:end].endswith(("...", "…", *"\"'”“’»«」』")) and _kind(text[start]) in ("x", "th", "cjk")):
+        glued = end == start and not _cjk(text[end]) and not _cjk(text[end - 1])
+        mixed = _thai(text[start]) and text[end - 1].isalnum() and not _thai(text[end - 1])
+        trails = text[:end].endswith(("...", "…", *"\"'”“’»«」』")) and _kind(text[start]) in ("x", "th", "cjk")
+        if not sure and (glued or mixed or trails):
             if asked is not None and key:
                 asked.add(key)
             if key not in opened:

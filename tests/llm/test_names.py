@@ -109,3 +109,12 @@ def test_letters_folded_into_two_are_found(spark):
     one = lambda i, s: (i, f"Kristian {s}", "Kristian", None, None, s, None, "Ferekime", "Nomariham", None)
     got = {(r.name_id_a, r.name_id_b) for r in pairs(entities(spark.createDataFrame([one(1, "Ubbæk"), one(2, "Ubbkæ"), one(3, "Ubbnk"), one(4, "Holm")], SCHEMA))).collect()}
     assert {(1, 2), (1, 3)} <= got and not any(4 in x for x in got)
+
+
+def test_the_same_rows_link_alike_in_a_larger_table(spark):
+    one = lambda i, g, s, e, t: (i, f"{g} {s}", g, None, None, s, None, e, t, None)
+    rows = [one(1, "Gabriella", "Nordlund", "Komikite", "Derotaton"), one(2, "Gabriela", "Nordlund", "Komikite", "Derotaton"), one(3, "Gabriella", "Nordlnud", "Komikite", "Derotaton"), one(4, "Anders", "Holm", "Komikite", "Derotaton"), one(5, "Anders", "Holt", "Komikite", "Derotaton")]
+    usual = [("Gabriella", "Nordlund"), ("Anders", "Holm"), ("Anders", "Holt"), ("Maria", "Dalsgaard"), ("Robert", "Kvist")]
+    many = lambda n: [one(100 + k, *usual[k % 5], f"Firm{k}", f"Town{k}") for k in range(n)]
+    got = [{(r.name_id_a, r.name_id_b) for r in pairs(entities(spark.createDataFrame(rows + many(n), SCHEMA))).collect()} for n in (60, 3000)]
+    assert got[0] == got[1] == {(1, 2), (1, 3), (2, 3)}
