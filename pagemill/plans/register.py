@@ -90,7 +90,8 @@ def register(spark: SparkSession) -> list[str]:
     _arrow(spark, "parse_name", names.parse, names.SCHEMA)
     _arrow(spark, "image_palette", color.dominant, "array<array<float>>")
     _arrow(spark, "try_image_palette", _or_null(color.dominant, color.ImageLoadError), "array<array<float>>")
-    made += ["page_sentences", "page_sentences_with", "text_group", "text_join", "text_order", "text_split_words", "text_without_stops", "page_tag_attribute", "page_tag_html", "lz_compress", "lz_decompress", "try_lz_decompress", "parse_name", "image_palette", "try_image_palette"]
+    made += [
+        "page_sentences", "page_sentences_with", "text_group", "text_join", "text_order", "text_split_words", "text_without_stops", "page_tag_attribute", "page_tag_html", "lz_compress", "lz_decompress", "try_lz_decompress", "parse_name", "image_palette", "try_image_palette"]
     for name, (arguments, kind, body) in NATIVE.items():
         pattern = text.EMAIL.replace("\\", "\\\\").replace("'", "\\'")
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body.format(pattern)}")

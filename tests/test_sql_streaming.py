@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 from pagemill.operators import technology
 from pagemill.operators.pages import with_sentences
 from pagemill.plans import queries
-
 from pagemill.plans.register import register, register_rules
 from pagemill.sources.tables import cut, read_images, read_pages, release, spread
 from pagemill.streaming import rows as S
 
 HTML = "<html lang=da><h1>Top | two</h1><p>one two three.</p><a href=/x>mail a@b.com</a></html>"
 
+
 def test_sql_functions(spark):
     made = register(spark)
     spark.createDataFrame([(HTML,), (None,)], "html string").createOrReplaceTempView("w")
@@ -29,6 +29,7 @@ def test_sql_functions(spark):
     assert (r.t, r.d, r.r) == (["Lamp"], ["Lamp"], ["Lamp", "Wick"])
     assert {"page_nodes", "page_html_contents", "image_palette"} <= set(made)
 
+
 def test_streams(spark, tmp_path):
     t = datetime.datetime(2024, 1, 1, 12)
     rows = [(1, "https://a.example/x", HTML, t), (1, "https://a.example/x", HTML, t), (2, "https://b.example/", None, t + datetime.timedelta(hours=2))]
@@ -40,6 +41,7 @@ def test_streams(spark, tmp_path):
     S.to_tables(S.host_counts(source, "url", "at", late="10 minutes"), str(tmp_path / "hosts"), str(tmp_path / "c2")).awaitTermination()
     assert {(r.host, r.pages) for r in spark.read.parquet(str(tmp_path / "hosts")).collect()} >= {("a.example", 2)}
 
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.html").write_text(HTML)
     assert read_pages(spark, str(tmp_path / "a.html"), "files").first().html == HTML
@@ -47,10 +49,12 @@ def test_sources(spark, tmp_path):
     df = spread(spark.range(3).coalesce(1))
     assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and cut(df).count() == 3 and release(spark) >= 1 and release(spark) == 0
 
+
 def test_one_parse_a_row_and_pruned_scans(spark, tmp_path):
     spark.createDataFrame([(1, HTML, "extra")], "page_id bigint, html string, other string").write.parquet(str(tmp_path / "p"))
     plan = with_sentences(spark.read.parquet(str(tmp_path / "p")).select("page_id", "html"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "other" not in plan.split("ReadSchema")[1]
 
+
 def test_every_query_is_registered():
     assert set(queries.SQL) <= set(queries.QUERIES) and {"p3_found", "p7_found", "sentences", "tech_full"} <= set(queries.QUERIES)
