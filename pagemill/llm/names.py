@@ -35,12 +35,15 @@ _MARKS = str.maketrans({"ø": "o", "æ": "ae", "å": "a", "ß": "ss", "ð": "d",
 
 @lru_cache(maxsize=200_000)
 def fold(name: str | None) -> str:
-    """A name's sound-alike form: small letters without marks, common misreadings and equal sounds made one, doubled letters single."""
+    """A name's sound-alike form: small letters without marks, common misreadings and equal sounds made one, doubled letters single.
+
+    Sounds are made one letter by letter as far as can be (kv and qu become ku): so an exchange of neighbours stays one.
+    """
     if not name:
         return ""
     t = unicodedata.normalize("NFKD", " ".join(name.lower().split()).translate(_MARKS))
     t = "".join(c for c in t if not unicodedata.combining(c) and (c.isalnum() or c in " -"))
-    for a, b in (("aa", "a"), ("ph", "f"), ("th", "t"), ("ck", "k"), ("qu", "kv"), ("w", "v"), ("z", "s"), ("y", "i"), ("x", "ks")):
+    for a, b in (("aa", "a"), ("ph", "f"), ("th", "t"), ("ck", "k"), ("q", "k"), ("w", "u"), ("v", "u"), ("z", "s"), ("y", "i"), ("x", "ks")):
         t = t.replace(a, b)
     return re.sub(r"(.)\1+", r"\1", t).strip(" -")
 
