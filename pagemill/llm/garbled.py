@@ -34,8 +34,8 @@ WIDE = (("cp1252", "gbk"), ("cp1252", "big5"), ("cp1252", "cp932"), ("cp1252", "
 #: Bytes for a step that finds valid UTF-8 in Cyrillic readings, for any other step (times its number in the chain), for a character that the corpus hardly has; longest
 #: chain. Valid UTF-8 among Latin letters and signs hardly comes by chance: such a step is credited instead of charged.
 VALID, STEP, ESCAPE, CHAIN, CREDIT = 1.0, 3.0, 4.0, 3, -3.0
-#: Texts of each number of steps that are taken further.
-BEAM = 3
+#: Texts of each number of steps that are taken further, and how much longer than the original's their description may be.
+BEAM, SLACK = 3, 0.25
 CREDITED = ("cp1252>utf_8", "latin_1>utf_8", "cp437>utf_8", "mac_roman>utf_8")
 #: First bytes of frequent UTF-8 sequences as these encodings show them, with what may follow.
 _TRACE = re.compile(r"[ÃÂÐÑ][\x80-\xbfŒœŠšŸŽžƒˆ˜‐-›€™]|â[\x80€]|[├┬Γ╨╤][^\x00-\x7f]|[√¬‚][^\x00-\x7f]")
@@ -186,20 +186,27 @@ _ODD = re.compile(r"[^\W\d_][^\w\s\x00-\x7f’‘'`´·​-‍­‐-—][^\W\d_]
 
 def restore_segment(text: str, model: Model) -> tuple[str, tuple[str, ...]]:
     """The segment by its cheapest chain, and the chain (empty if it stays). The best BEAM texts of every number of steps go on."""
-    best = (model.length[text], 0, text, ())
+    first = steps(text, model)
+    if not first:
+        return text, ()
+    limit = model.length[text]
+    worst = limit * (1 + SLACK) + STEP
+    best = (limit, 0, text, ())
     known, going = {text: 0.0}, [(0.0, text, ())]
     for depth in range(1, CHAIN + 1):
         reached: dict[str, tuple[float, tuple[str, ...]]] = {}
         for spent, old, chain in going:
-            for new, name in steps(old, model).items():
+            for new, name in (first if depth == 1 else steps(old, model)).items():
                 cost = spent + (CREDIT if name in CREDITED and _TRACE.search(old) else VALID if name.endswith("utf_8") else STEP * depth)
+                if cost + ESCAPE * model.escapes(new) > worst:
+                    continue  # its rare characters alone cost more: no need to compress it
                 if cost < min(known.get(new, math.inf), reached[new][0] if new in reached else math.inf):
                     reached[new] = cost, (*chain, name)
         ranked = sorted((model.length[new] + cost, depth, new, chain) for new, (cost, chain) in reached.items())
         if not ranked:
             break
         best = min(best, ranked[0])
-        going = [(total - model.length[new], new, chain) for total, _, new, chain in ranked[:BEAM]]
+        going = [(total - model.length[new], new, chain) for total, _, new, chain in ranked[:BEAM] if total <= worst]
         known |= {new: cost for cost, new, _ in going}
     return best[2], best[3]
 
@@ -221,18 +228,24 @@ def restore(text: str, model: Model) -> tuple[str, tuple[str, ...], bool]:
     return "".join([*out, text[at:]]), tuple(dict.fromkeys(used)), "�" in text
 
 
+#: Traces of UTF-8 read as something else, control signs, lost characters; the same in Python and Java.
+_SUSPECT = r"\ufffd|[\x80-\x9f]|[ÃÂ][\x80-¿‚-™]|â€|[ÐÑ][\x80-ÿ‚-™]|[├╨╤√ΓĂ][^\x00-\x7f]|[РС][\x80-¿Ђ-џ‚-™](?:[РС].)"
+
+
 def fit_encodings(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", documents: int = 6000, each: int = 400) -> Model:
     """Dictionaries from a bounded sample (parameter documents, the first by hash of their id; at most `each` a language and 4,000
-    characters a document) without traces of UTF-8 read as something else and without lost characters."""
+    characters a document) without traces of UTF-8 read as something else and without lost characters; how common characters are, from
+    all whole texts of that kind."""
+    clean = df.where(F.col(text).isNotNull() & ~F.col(text).rlike(_SUSPECT))
+    chars = F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"[^\x00-\x7f]"), F.lit(0))))
+    # one row a character that is in use, and how many documents hold it
+    counts = Counter({r.c: r["count"] for r in clean.select(chars.alias("c")).groupBy("c").count().collect()})
+    n = clean.count()
     ids = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(documents)
     rows = df.select(key, F.substring(text, 1, 4000).alias("t"), F.lower(F.substring_index(F.trim(lang), "-", 1)).alias("l")).join(F.broadcast(ids), key, "left_semi").where("t != ''").dropDuplicates([key]).orderBy(key).collect()
-    samples, counts, n = defaultdict(list), Counter(), 0
+    samples = defaultdict(list)
     for r in rows:
-        if "�" in r.t or re.search(r"[\x80-\x9f]|[ÃÂ][\x80-¿‚-™]|â€|[ÐÑ][\x80-ÿ‚-™]|[├╨╤√ΓĂ][^\x00-\x7f]|[РС][\x80-¿Ђ-џ‚-™](?:[РС].)", r.t):
-            continue
-        n += 1
-        counts.update({c for c in r.t if c > "\x7f"})
-        if len(samples[r.l or ""]) < each:
+        if not re.search(_SUSPECT, r.t) and len(samples[r.l or ""]) < each:
             samples[r.l or ""].append(r.t)
     return Model({k: v for k, v in samples.items() if k and len(v) >= 5}, counts, n)
 
