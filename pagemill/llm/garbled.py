@@ -125,9 +125,10 @@ class Model:
         self.packers = []
         for raw in self.raw.values():
             d = zstandard.ZstdCompressionDict(raw)
-            self.packers.append(zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_dict_id=False))
+            d.precompute_compress(level=3)
+            self.packers.append(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False))
         if not self.packers:
-            self.packers.append(zstandard.ZstdCompressor(level=6, write_content_size=False))
+            self.packers.append(zstandard.ZstdCompressor(level=3, write_content_size=False))
         self.length = Memo(self._length, 4_000_000)
 
     def __getstate__(self):
