@@ -159,6 +159,13 @@ def lz_compressed(spark, d):
     return _documents(spark, d, lz.lz_compress(F.col("text"))).withColumnRenamed("result", "packed")
 
 
+@query("SELECT * FROM (VALUES ('', 'Q'), ('a', 'IZA'), ('aaaa', 'IY5A')) AS v(word, packed)")
+def lz_known(spark, d):
+    """Codes of short strings that are known by heart."""
+    words = spark.createDataFrame([("",), ("a",), ("aaaa",)], "word string")
+    return words.select("word", lz.lz_compress(F.col("word")).alias("packed"))
+
+
 # --- pages ----------------------------------------------------------------------------------------------------------------
 
 PAGES = "(SELECT DISTINCT page_id, html FROM pages WHERE html IS NOT NULL)"
