@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -79,7 +80,8 @@ def from_utf8(text: str, encoding: str, dropped: int | None = None) -> str:
         try:
             raw = bytes(byte[c] for c in m[0])
             missing = dropped is not None and len(raw) < (2 if raw[0] < 0xE0 else 3 if raw[0] < 0xF0 else 4)
-            return (raw + bytes([dropped]) if missing else raw).decode("utf-8")
+            made = (raw + bytes([dropped]) if missing else raw).decode("utf-8")
+            return m[0] if unicodedata.category(made) in ("Cn", "Co") else made  # no character stands there
         except (UnicodeDecodeError, KeyError):
             return m[0]
 
@@ -179,8 +181,8 @@ def _script_letters(old: str, new: str) -> bool:
     return found >= 3 and found * 10 >= len(changed) * 6
 
 
-#: Letters of one script beside those of another: ASCII, Greek, Cyrillic, Arabic, Thai, East Asian.
-_MIXED = re.compile(r"[A-Za-z](?=[Ͱ-๿])|[Ͱ-๿](?=[A-Za-z])|[Ͱ-Ͽ؀-ۿ](?=[Ѐ-ӿ])|[Ѐ-ӿ](?=[Ͱ-Ͽ؀-ۿ])|[Ͱ-ۿ](?=[\u0e00-\u0e7f\u3040-\u9fff])|[\u0e00-\u0e7f\u3040-\u9fff](?=[Ͱ-ۿ])")
+#: Letters of one script beside those of another: Latin, Greek, Cyrillic, Arabic, Thai, East Asian.
+_MIXED = re.compile(r"[A-Za-zÀ-ɏ](?=[Ͱ-๿])|[Ͱ-๿](?=[A-Za-zÀ-ɏ])|[Ͱ-Ͽ؀-ۿ](?=[Ѐ-ӿ])|[Ѐ-ӿ](?=[Ͱ-Ͽ؀-ۿ])|[Ͱ-ۿ](?=[\u0e00-\u0e7f\u3040-\u9fff])|[\u0e00-\u0e7f\u3040-\u9fff](?=[Ͱ-ۿ])")
 #: A mark between letters, or one that only opens behind a letter.
 _ODD = re.compile(r"[^\W\d_][^\w\s\x00-\x7f’‘'`´·​-‍­‐-—][^\W\d_]|[^\W\d_][‚„ˆ](?=[\s.,;:!?]|$)")
 

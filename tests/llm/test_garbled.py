@@ -48,6 +48,12 @@ def test_no_cases():
     assert restore("The café owner’s résumé. " * 20_000, MODEL)[1] == ()
 
 
+def test_no_text_becomes_characters_that_do_not_exist():
+    ukrainian = Model({"uk": ["Наша майстерня продає дерев'яні полиці. Сусід фарбує сині двері."] * 6}, Counter("НашамйстерняподєвіолицСуіфбдх" * 2), 12)
+    text = "Нову лампу купили для всієї вулиці."  # four of its letters are the bytes of an unassigned character
+    assert restore_segment(text, ukrainian) == (text, ())
+
+
 def test_frame(spark):
     rows = [(i, t, lang) for i, (lang, t) in enumerate((k, t) for k, v in CLEAN.items() for t in v * 4)]
     rows += [(90, "Chauffører sælger dÃ¸r.", "da"), (90, "Chauffører sælger dÃ¸r.", "da"), (91, None, None), (92, "", "da"), (None, "naÃ¯ve", "en")]
