@@ -6,6 +6,9 @@ place, are looked up in an inverted index; the pairs found are verified: surname
 nickname or initial, and middle name, suffix and employer must not contradict. Employers and places are settled first, with the
 same join. Sure links form components; spellings that leave something open (an initial, no employer) join a component if just
 one fits.
+
+All joins are hinted to merge: Spark judges a table by its file's size, which knows nothing of the segments that a row becomes, and
+would broadcast hundreds of MB through the driver.
 """
 
 from __future__ import annotations
@@ -135,7 +138,7 @@ def probe_keys(text: str) -> list[tuple[int, int, int, str]]:
 def segment_join(strings: DataFrame, block: str, text: str, wanted: str | None = None) -> DataFrame:
     """(block, a, b): different strings of a block that share a segment, each pair once; strings(block, text) are distinct.
 
-    Candidates only: every pair within the allowed edits is among them. The keys are hashed and joined by shuffle; no group is collected.
+    Candidates only: every pair within the allowed edits is among them. The keys are hashed and joined by shuffle, never broadcast; no group is collected.
     wanted: a boolean column; then only pairs of a wanted string a with one that isn't, b.
     """
 
@@ -155,7 +158,7 @@ def segment_join(strings: DataFrame, block: str, text: str, wanted: str | None =
     right = rows.select("block", "w", F.col("t").alias("b"), probe.asNondeterministic()("t").alias("ks")).select("block", "w", "b", F.explode("ks").alias("k"))
     right = right.select(F.col("block").alias("block2"), F.col("w").alias("w2"), "b", F.xxhash64("block", "k", turned).alias("key"))
     # two edits, exchanges among them, are four of Levenshtein's at most: that leaves few pairs to shuffle and to verify
-    found = left.join(right, "key").where("a != b and block = block2 and levenshtein(a, b, 4) >= 0" + (" and w != w2" if wanted else ""))
+    found = left.join(right.hint("merge"), "key").where("a != b and block = block2 and levenshtein(a, b, 4) >= 0" + (" and w != w2" if wanted else ""))
     if wanted:
         return found.select("block", F.when(F.col("w"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("w"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
     return found.select("block", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -209,7 +212,7 @@ def _turn(rows: DataFrame) -> DataFrame:
     """Given name and surname put right where each is far more often the other."""
     use = rows.select(F.explode(F.array(F.struct(F.col("g").alias("t"), F.lit(1).alias("g"), F.lit(0).alias("s")), F.struct(F.col("s").alias("t"), F.lit(0).alias("g"), F.lit(1).alias("s")))).alias("x")).select("x.*").where("t != ''")
     counts = use.groupBy("t").agg(F.sum("g").alias("ng"), F.sum("s").alias("ns"))
-    both = rows.join(counts.select(F.col("t").alias("g"), F.col("ng").alias("gg"), F.col("ns").alias("gs")), "g", "left").join(counts.select(F.col("t").alias("s"), F.col("ng").alias("sg"), F.col("ns").alias("ss")), "s", "left")
+    both = rows.join(counts.select(F.col("t").alias("g"), F.col("ng").alias("gg"), F.col("ns").alias("gs")).hint("merge"), "g", "left").join(counts.select(F.col("t").alias("s"), F.col("ng").alias("sg"), F.col("ns").alias("ss")).hint("merge"), "s", "left")
     swap = F.coalesce((F.col("sg") > 3 * F.col("ss")) & (F.col("gg") < 3 * F.col("gs") + 2) & (F.col("g") != ""), F.lit(False))
     turned = both.withColumn("g2", F.when(swap, F.col("s")).otherwise(F.col("g"))).withColumn("s2", F.when(swap, F.col("g")).otherwise(F.col("s")))
     turned = turned.withColumn("i2", F.when(swap, F.substring("g2", 1, 1)).otherwise(F.col("i")))
@@ -234,29 +237,29 @@ def _places(rows: DataFrame) -> DataFrame:
     firms = cut(rows.where("emp != '' and town != ''").groupBy("emp", "town").agg(F.count(F.lit(1)).alias("n")), "firms")
     best = firms.groupBy("emp").agg(F.max_by("town", F.struct("n", "town")).alias("near"))
     # employers without a town of their own: the nearest spelling of all that have one, of equally near ones that beside the likest name
-    lost = rows.where("town = '' and emp != ''").select("emp").distinct().join(best, "emp", "left_anti")
+    lost = rows.where("town = '' and emp != ''").select("emp").distinct().join(best.hint("merge"), "emp", "left_anti")
     pool = lost.withColumn("lost", F.lit(True)).unionByName(best.select("emp", F.lit(False).alias("lost"))).withColumn("all", F.lit(""))
     close = cut(segment_join(pool, "all", "emp", "lost").withColumn("d", _distance_udf("a", "b")).where("d <= 2").select("a", "b", "d"), "known")
-    nearest = close.join(close.groupBy("a").agg(F.min("d").alias("d")), ["a", "d"]).select("a", "b")
+    nearest = close.join(close.groupBy("a").agg(F.min("d").alias("d")).hint("merge"), ["a", "d"]).select("a", "b")
     first = nearest.groupBy("a").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n"))
-    tied = nearest.join(first.where("n > 1").select("a"), "a", "left_semi")
+    tied = nearest.join(first.where("n > 1").select("a").hint("merge"), "a", "left_semi")
     named = rows.where("emp != ''").select("emp", "s", "g").distinct()
     mine, theirs = named.withColumnsRenamed({"emp": "a", "s": "s1", "g": "g1"}), named.withColumnsRenamed({"emp": "b", "s": "s2", "g": "g2"})
-    scored = mine.join(tied, "a").join(theirs, "b").withColumn("far", F.struct(F.levenshtein("s1", "s2").alias("s"), F.levenshtein("g1", "g2").alias("g")))
+    scored = mine.join(tied.hint("merge"), "a").join(theirs.hint("merge"), "b").withColumn("far", F.struct(F.levenshtein("s1", "s2").alias("s"), F.levenshtein("g1", "g2").alias("g")))
     likest = scored.groupBy(F.col("a").alias("emp"), F.col("s1").alias("s"), F.col("g1").alias("g")).agg(F.min_by("b", F.struct("far", "b")).alias("b"))
     near = best.withColumnRenamed("emp", "b")
-    found = first.where("n = 1").select(F.col("a").alias("emp"), "b").join(near, "b").select("emp", "near")
-    by_name = likest.join(near, "b").select("emp", "s", "g", F.col("near").alias("near2"))
-    placed = rows.join(best.unionByName(found), "emp", "left").join(by_name, ["emp", "s", "g"], "left")
+    found = first.where("n = 1").select(F.col("a").alias("emp"), "b").join(near.hint("merge"), "b").select("emp", "near")
+    by_name = likest.join(near.hint("merge"), "b").select("emp", "s", "g", F.col("near").alias("near2"))
+    placed = rows.join(best.unionByName(found).hint("merge"), "emp", "left").join(by_name.hint("merge"), ["emp", "s", "g"], "left")
     placed = placed.withColumn("place", F.when(F.col("town") != "", F.col("town")).otherwise(F.coalesce("near", "near2", F.concat(F.lit("@"), F.col("emp"))))).drop("near", "near2")
     placed = cut(placed, "placed")
     spelt = cut(placed.where("emp != ''").groupBy("place", "emp").agg(F.count(F.lit(1)).alias("n")), "spelt")
     close = cut(segment_join(spelt, "place", "emp").withColumn("d", _distance_udf("a", "b")).where("d <= 2"), "close")
     close = close.select("block", "a", "b").union(close.select("block", F.col("b").alias("a"), F.col("a").alias("b")))
-    counted = close.join(spelt.select(F.col("place").alias("block"), F.col("emp").alias("b"), F.col("n").alias("nb")), ["block", "b"])
-    counted = counted.join(spelt.select(F.col("place").alias("block"), F.col("emp").alias("a"), F.col("n").alias("na")), ["block", "a"]).where("nb > na or (nb = na and b < a)")
+    counted = close.join(spelt.select(F.col("place").alias("block"), F.col("emp").alias("b"), F.col("n").alias("nb")).hint("merge"), ["block", "b"])
+    counted = counted.join(spelt.select(F.col("place").alias("block"), F.col("emp").alias("a"), F.col("n").alias("na")).hint("merge"), ["block", "a"]).where("nb > na or (nb = na and b < a)")
     canon = counted.groupBy("block", "a").agg(F.max_by("b", F.struct("nb", "b")).alias("firm")).select(F.col("block").alias("place"), F.col("a").alias("emp"), "firm")
-    return placed.join(canon, ["place", "emp"], "left").withColumn("firm", F.coalesce("firm", "emp"))
+    return placed.join(canon.hint("merge"), ["place", "emp"], "left").withColumn("firm", F.coalesce("firm", "emp"))
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -264,9 +267,9 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     labels = table = cut(nodes.select("node", F.col("node").alias("comp")), "labels")
     links = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     while True:
-        spread_ = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near")).withColumnRenamed("a", "node")
-        new = labels.join(spread_, "node", "left").select("node", F.least("comp", F.coalesce("near", "comp")).alias("comp"), (F.coalesce("near", "comp") < F.col("comp")).alias("moved"))
-        jumped = cut(new.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("beyond")), "comp", "left").select("node", F.least("comp", F.coalesce("beyond", "comp")).alias("comp"), "moved"), "labels")
+        spread_ = links.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").groupBy("a").agg(F.min("comp").alias("near")).withColumnRenamed("a", "node")
+        new = labels.join(spread_.hint("merge"), "node", "left").select("node", F.least("comp", F.coalesce("near", "comp")).alias("comp"), (F.coalesce("near", "comp") < F.col("comp")).alias("moved"))
+        jumped = cut(new.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("beyond")).hint("merge"), "comp", "left").select("node", F.least("comp", F.coalesce("beyond", "comp")).alias("comp"), "moved"), "labels")
         discard(table)
         labels, table = jumped.select("node", "comp"), jumped
         if not jumped.where("moved").limit(1).count():
@@ -295,14 +298,14 @@ def entities(names: DataFrame) -> DataFrame:
     # how often the name of a usual row occurs: half of the rows have a commoner one. Names typed right have such counts, whatever the table's size
     usual = lambda counts, c: float(counts.agg(F.percentile(c, F.lit(0.5), F.col(c))).first()[0] or 0.0)
     usual_s, usual_g = usual(surnames, "ns"), usual(givens, "ng")
-    forms = cut(rows.select(cols).distinct().join(surnames, "s", "left").join(givens, "g", "left").na.fill({"ns": 0, "ng": 0}), "forms")
+    forms = cut(rows.select(cols).distinct().join(surnames.hint("merge"), "s", "left").join(givens.hint("merge"), "g", "left").na.fill({"ns": 0, "ng": 0}), "forms")
     spelt = forms.select("place", "s").distinct()
     near = segment_join(spelt, "place", "s").withColumn("d", _distance_udf("a", "b")).where("d <= 2").drop("d")
     same = spelt.select(F.col("place").alias("block"), F.col("s").alias("a"), F.col("s").alias("b"))
     pairs = near.union(same)
     left = forms.select(*[F.col(c).alias(c + "1") for c in [*cols, "ns", "ng"]])
     right = forms.select(*[F.col(c).alias(c + "2") for c in [*cols, "ns", "ng"]])
-    on = pairs.join(left, (F.col("block") == F.col("place1")) & (F.col("a") == F.col("s1"))).join(right, (F.col("block") == F.col("place2")) & (F.col("b") == F.col("s2")))
+    on = pairs.join(left.hint("merge"), (F.col("block") == F.col("place1")) & (F.col("a") == F.col("s1"))).join(right.hint("merge"), (F.col("block") == F.col("place2")) & (F.col("b") == F.col("s2")))
     quiet = lambda c: f"({c}1 = '' or {c}2 = '' or {c}1 = {c}2)"
     # two spellings that are both common are two names: one of them must be a quarter as frequent as a usual name or as the other, or single
     unlike = f"(s1 = s2 or least(ns1, ns2) = 1 or least(ns1, ns2) * 4 <= {usual_s} or least(ns1, ns2) * 4 <= greatest(ns1, ns2))"
@@ -311,7 +314,7 @@ def entities(names: DataFrame) -> DataFrame:
     met = full.where("g1 != '' and g2 != '' and g1 != g2 and s1 = s2").select(F.least("g1", "g2").alias("x"), F.greatest("g1", "g2").alias("y"), F.xxhash64("block", "s1").alias("at")).distinct()
     seen = forms.where("g != ''").select("g", "place", "s").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     learnt = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    learnt = learnt.join(seen.select(F.col("g").alias("x"), F.col("c").alias("cx")), "x").join(seen.select(F.col("g").alias("y"), F.col("c").alias("cy")), "y")
+    learnt = learnt.join(seen.select(F.col("g").alias("x"), F.col("c").alias("cx")).hint("merge"), "x").join(seen.select(F.col("g").alias("y"), F.col("c").alias("cy")).hint("merge"), "y")
     learnt = learnt.where("n >= 0.25 * least(cx, cy)").select("x", "y", F.lit(True).alias("learnt"))
 
     @F.pandas_udf("boolean")
@@ -328,7 +331,7 @@ def entities(names: DataFrame) -> DataFrame:
                 out.append(not x or not y or bool(initials(a, x) & initials(b, y)))
         return pd.Series(out)
 
-    judged = full.join(learnt, (F.least("g1", "g2") == F.col("x")) & (F.greatest("g1", "g2") == F.col("y")), "left").withColumn("learnt", F.coalesce("learnt", F.lit(False)))
+    judged = full.join(learnt.hint("merge"), (F.least("g1", "g2") == F.col("x")) & (F.greatest("g1", "g2") == F.col("y")), "left").withColumn("learnt", F.coalesce("learnt", F.lit(False)))
     links = cut(judged.where(fits("s1", "s2", "g1", "g2", "i1", "i2", "ng1", "ng2", "m1", "m2", "learnt")).select("node1", "node2", "g1", "g2", "i1", "i2", "s1", "s2", "firm1", "firm2", "mi1", "mi2", "suffix1", "suffix2"), "fits")
     sure = "(g{0} != '' and firm{0} != '')"
     strong = links.where(f"{sure.format(1)} and {sure.format(2)}").select(F.col("node1").alias("a"), F.col("node2").alias("b"))
@@ -336,31 +339,31 @@ def entities(names: DataFrame) -> DataFrame:
     # what leaves something open joins by the likest spelling that fits anybody
     comps = _attach(comps, links.where("g1 != '' and g2 != ''"), forms.where("g != '' and firm = ''").select("node"), ("s1 = s2 and g1 = g2", "s1 = s2 or g1 = g2", "true"))
     comps = _attach(comps, links, forms.where("g = ''").select("node"), ("s1 = s2 and i1 = i2", "i1 = i2", "true"))
-    out = rows.select("name_id", "node").distinct().join(comps, "node").select("name_id", F.col("comp").alias("entity")).distinct()
+    out = rows.select("name_id", "node").distinct().join(comps.hint("merge"), "node").select("name_id", F.col("comp").alias("entity")).distinct()
     size = out.groupBy("entity").agg((F.count(F.lit(1)) - 1).alias("links"))
-    return out.join(size, "entity").select("name_id", "entity", "links")
+    return out.join(size.hint("merge"), "entity").select("name_id", "entity", "links")
 
 
 def _attach(comps: DataFrame, links: DataFrame, loose: DataFrame, stages: tuple[str, ...]) -> DataFrame:
     """The components after loose nodes joined the one component that they fit, stage by stage of ever weaker links. Where several fit, a
     node stays alone; loose nodes that fit no other component link among themselves."""
     both = links.withColumnsRenamed({"node1": "a", "node2": "b"}).unionByName(links.withColumnsRenamed({"node2": "a", "node1": "b"}))
-    mine = cut(both.join(loose.withColumnRenamed("node", "a"), "a", "left_semi"), "mine")
-    fixed = cut(comps.join(loose, "node", "left_anti"), "fixed")
-    outer = mine.join(fixed.withColumnRenamed("node", "b"), "b")
+    mine = cut(both.join(loose.withColumnRenamed("node", "a").hint("merge"), "a", "left_semi"), "mine")
+    fixed = cut(comps.join(loose.hint("merge"), "node", "left_anti"), "fixed")
+    outer = mine.join(fixed.withColumnRenamed("node", "b").hint("merge"), "b")
     best = None
     for rank, stage in enumerate(stages):
         fit = outer.where(stage).groupBy("a").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).withColumn("rank", F.lit(rank))
         best = fit if best is None else best.unionByName(fit)
     fit = cut(best.groupBy("a").agg(F.min_by(F.struct("one", "other"), "rank").alias("v")).select(F.col("a").alias("node"), "v.*"), "fit")
     chosen = fit.where("one = other").select("node", F.col("one").alias("joined"))
-    free = loose.join(fit.select("node"), "node", "left_anti")
-    among = mine.join(free.withColumnRenamed("node", "a"), "a", "left_semi").join(free.withColumnRenamed("node", "b"), "b", "left_semi")
+    free = loose.join(fit.select("node").hint("merge"), "node", "left_anti")
+    among = mine.join(free.withColumnRenamed("node", "a").hint("merge"), "a", "left_semi").join(free.withColumnRenamed("node", "b").hint("merge"), "b", "left_semi")
     alone = components(among, free).select("node", F.col("comp").alias("joined2"))
-    return cut(comps.join(chosen, "node", "left").join(alone, "node", "left").select("node", F.coalesce("joined", "joined2", "comp").alias("comp")), "attached")
+    return cut(comps.join(chosen.hint("merge"), "node", "left").join(alone.hint("merge"), "node", "left").select("node", F.coalesce("joined", "joined2", "comp").alias("comp")), "attached")
 
 
 def pairs(found: DataFrame) -> DataFrame:
     """(name_id_a, name_id_b): all pairs of rows of one person, the smaller id first."""
     a, b = found.select("entity", F.col("name_id").alias("name_id_a")), found.select("entity", F.col("name_id").alias("name_id_b"))
-    return a.join(b, "entity").where("name_id_a < name_id_b").select("name_id_a", "name_id_b")
+    return a.join(b.hint("merge"), "entity").where("name_id_a < name_id_b").select("name_id_a", "name_id_b")

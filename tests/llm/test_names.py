@@ -5,7 +5,7 @@ import string
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagemill.llm.names import allowed, components, distance, edits, employer_key, entities, fold, given_fits, index_keys, pairs, probe_keys
+from pagemill.llm.names import allowed, components, distance, edits, employer_key, entities, fold, given_fits, index_keys, pairs, probe_keys, segment_join
 
 
 def osa(a, b):
@@ -118,3 +118,15 @@ def test_the_same_rows_link_alike_in_a_larger_table(spark):
     many = lambda n: [one(100 + k, *usual[k % 5], f"Firm{k}", f"Town{k}") for k in range(n)]
     got = [{(r.name_id_a, r.name_id_b) for r in pairs(entities(spark.createDataFrame(rows + many(n), SCHEMA))).collect()} for n in (60, 3000)]
     assert got[0] == got[1] == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_nothing_is_broadcast_through_the_driver(spark):
+    # small tables, which Spark would broadcast; a row becomes some thirty keys that it doesn't count
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    words = spark.createDataFrame([("x", "holmvad"), ("x", "hlomvad"), ("y", "holmvad")], "place string, s string")
+    found = segment_join(words, "place", "s")
+    assert {tuple(r) for r in found.collect()} == {("x", "hlomvad", "holmvad")}
+    rows = [(i, f"Robert {s}", "Robert", None, None, s, None, "Komikite", "Derotaton", None) for i, s in enumerate(("Nordlund", "Nordlnud", "Kvist"))]
+    linked = pairs(entities(spark.createDataFrame(rows, SCHEMA)))
+    assert {tuple(r) for r in linked.collect()} == {(0, 1)}
+    assert not any("Broadcast" in plan(x) for x in (found, linked)) and "SortMergeJoin" in plan(found)
