@@ -3,7 +3,8 @@
 Patterns propose spans of five kinds. For each span, regex, gazetteer and context labelers vote +1, 0 or -1.
 Expectation-maximisation over the vote patterns of a bounded sample estimates how reliable each labeler is and how likely each
 span is personal data; a maximum-entropy classifier over votes, shape and neighbouring words is trained on these probabilities
-and applied to every span of every text. Given names and surnames come from a table of parsed names, by count.
+and applied to every span of every text. Given names and surnames come from a table of parsed names, by count; how words are
+written and who is named in by-lines is counted over all pages.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pagemill.llm import maxent
 from pagemill.llm.pages import Memo, elements, field_name, sample_pages
 from pagemill.packing import map_units, unpack
+from pagemill.sources.tables import cut, discard
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -306,10 +308,41 @@ def fit(texts: list[str], gaz: Gazetteer) -> dict[str, float]:
     return maxent.fit([f for *_, f in found], [truth[(k, v)] for k, _, _, v, _ in found], epochs=5)
 
 
-def gazetteer(names: DataFrame | None, texts: list[str], given: int = 20_000, surnames: int = 200_000, least: int = 3) -> Gazetteer:
-    """The most frequent given names and surnames of a table (at most so many, at least `least` times each); common words of the texts.
+_RUN = re.compile(rf"[{_L}]+")
+_SMALL = re.compile(r"[a-zß-öø-ɏ]+")
+_BY = re.compile(rf"(?:By|Af|Av|Von|Por|Par) ([A-ZÀ-ÖØ-Þ][{_L}-]+) [A-ZÀ-ÖØ-Þ][{_L}'’-]+$")
 
-    Only these bounded lists reach the driver; the counts run over the whole table.
+
+def spellings(df: DataFrame) -> DataFrame:
+    """(word, small, caps, line): how often the words of all pages are written small, with a capital, and as the given name of a by-line.
+
+    Whole texts are read; repeated deliveries count once. The row of the empty word has the number of pages.
+    """
+
+    def make():
+        def rows(p, nodes):
+            texts = [t for *_, t in elements(p, nodes)]
+            small, caps = Counter(), Counter()
+            for w, n in Counter(_RUN.findall("\n".join(texts))).items():
+                if _SMALL.fullmatch(w):
+                    small[w] += n
+                elif len(w) > 1 and (w[0] <= "Z" or "À" <= w[0] <= "Þ"):
+                    caps[w.lower()] += n
+            line = Counter(m[1].lower() for t in texts if (m := _BY.match(t)))
+            return [("", 1, 0, 0), *((w, small[w], caps[w], line[w]) for w in {*small, *caps, *line})]
+
+        return rows
+
+    fields = {"word": "string", "small": "int", "caps": "int", "line": "int"}
+    words = unpack(map_units(df.select("page_id", "p", "text_nodes"), "page_id", fields, make), "page_id")
+    return words.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("small", "caps", "line")])
+
+
+def gazetteer(names: DataFrame | None, df: DataFrame, given: int = 20_000, surnames: int = 200_000, least: int = 3, pages: int = 1500) -> Gazetteer:
+    """The most frequent given names and surnames of a table (at most so many, at least `least` times each); common words of the pages.
+
+    Only these lists reach the driver; the counts run over both whole tables. A word is common that is written small five times in
+    `pages` pages, so the list is bounded by what a page holds, and the same in a larger table.
     """
     sets = []
     for column, most in ((F.array("given_name", "middle_name"), given), (F.array("surname"), surnames)):
@@ -319,19 +352,19 @@ def gazetteer(names: DataFrame | None, texts: list[str], given: int = 20_000, su
         counts = names.select(F.explode(column).alias("x")).where("x is not null").groupBy(F.lower("x").alias("x")).count()
         rows = counts.where((F.col("count") >= least) & (F.length("x") >= 2)).orderBy(F.desc("count"), "x").limit(most).collect()
         sets.append({p for r in rows if r.x.strip() and not r.x.endswith(".") for p in r.x.split() if p not in PARTICLES and len(p) > 1})
-    words = Counter(w for t in texts for w in re.findall(rf"(?<![{_L}])[a-zß-öø-ɏ]+(?![{_L}])", t))
-    found = Counter(m[1] for t in texts for m in [re.match(rf"(?:By|Af|Av|Von|Por|Par) ([A-ZÀ-ÖØ-Þ][{_L}-]+) [A-ZÀ-ÖØ-Þ][{_L}'’-]+$", t)] if m)
-    sets[0] |= {w.lower() for w, c in found.items() if c >= least} - PARTICLES
-    caps = Counter(w.lower() for t in texts for w in re.findall(rf"(?<![{_L}])[A-ZÀ-ÖØ-Þ][{_L}]+(?![{_L}])", t))
-    sets[0] = {w for w in sets[0] if words[w] < 10 or words[w] < caps[w]}  # a word that is mostly written small is none
-    return Gazetteer(sets[0], sets[1], {w for w, c in words.items() if c >= 5 and w not in sets[1]})
+    counted = cut(spellings(df), "spellings")
+    times = max(1.0, sum(r.small for r in counted.where("word = ''").collect()) / pages)
+    words = counted.where((F.col("word") != "") & ((F.col("small") >= 5 * times) | (F.col("line") >= least))).collect()
+    discard(counted)
+    sets[0] |= {r.word for r in words if r.line >= least} - PARTICLES
+    sets[0] -= {r.word for r in words if r.small >= 10 * times and r.small >= r.caps}  # a word that is mostly written small is none
+    return Gazetteer(sets[0], sets[1], {r.word for r in words if r.small >= 5 * times and r.word not in sets[1]})
 
 
 def fit_personal(df: DataFrame, names: DataFrame | None, pages: int = 1500) -> tuple[dict, Gazetteer]:
-    """(classifier, gazetteer) from a bounded sample of pages (parameter pages) and the whole table of names."""
-    texts = [t for r in sample_pages(df, pages, "p", "text_nodes") for *_, t in elements(r.p, r.text_nodes)]
-    gaz = gazetteer(names, texts)
-    return fit(texts, gaz), gaz
+    """(classifier, gazetteer): the classifier from a bounded sample of pages (parameter pages), the gazetteer from all pages and names."""
+    gaz = gazetteer(names, df)
+    return fit([t for r in sample_pages(df, pages, "p", "text_nodes") for *_, t in elements(r.p, r.text_nodes)], gaz), gaz
 
 
 def find(text: str, model: dict, gaz: Gazetteer) -> list[tuple[int, int, int]]:

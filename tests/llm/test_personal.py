@@ -1,4 +1,4 @@
-from pagemill.llm.personal import KINDS, Gazetteer, find, fit, personal_spans, redact, reliabilities, spans
+from pagemill.llm.personal import KINDS, Gazetteer, find, fit, fit_personal, gazetteer, personal_spans, redact, reliabilities, spans
 from collections import Counter
 
 GAZ = Gazetteer({"anna", "lars", "josé", "mette", "hans-peter"}, {"holmvad", "fladmark"}, {"maler", "den", "paints"})
@@ -49,3 +49,14 @@ def test_long_text_and_frame(spark):
     assert got == [(1, "p", 0, 0, 5, "phone"), (1, "p", 0, 0, 33, "name"), (1, "p", 0, 0, 65, "name"), (1, "p", 0, 0, 80, "address"), (1, "text_nodes", 0, 0, 0, "address")]
     assert personal_spans(df, models=(MODEL, GAZ), redacted=True).count() == 2
     assert personal_spans(df.limit(0)).count() == 0
+
+
+def test_spellings_of_all_pages_count(spark):
+    # by-lines and common words stand outside the one page that the classifier is fitted on
+    rows = [(i, ["By Velkro Holmvad", "The driver paints"], [["By Paints Ravn"], None]) for i in range(4)] + [(i, ["Paints", "it paints"], None) for i in range(10, 18)]
+    rows += [(20, ["a gardener"], None)] * 9 + [(30 + i, ["Gardener", None, ""], None) for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id bigint, p array<string>, text_nodes array<array<string>>")
+    gaz = fit_personal(df, None, pages=1)[1]
+    assert gaz.given == {"velkro"} and gaz.common == {"it", "paints"}  # paints is mostly written small; page 20 counts once
+    assert gazetteer(None, df, pages=15).common == {"it", "paints"} and gazetteer(None, df, pages=5).common == set()  # 15 pages: a rate, not a number
+    assert gazetteer(None, df.limit(0)).common == set()
